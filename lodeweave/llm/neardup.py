@@ -33,7 +33,8 @@ from ..session import written
 SHINGLE, MIN_WORDS = 5, 40
 #: Bytes kept of a shingle's hash. 5 hold up to some 10^10 shingles; false candidates beyond are still verified away.
 HASH_BYTES = 5
-SKETCH_BITS = 20
+SKETCH_BITS = 22
+SKETCH_PARTS = 64
 _PREFIX = re.compile(r"(?m)^\d+: ?")
 _WORDS = re.compile(rb"[a-z0-9_]+")
 _MASK = np.uint64((1 << (8 * HASH_BYTES)) - 1)
@@ -68,8 +69,12 @@ def unpack(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+#: Shingles that two prefixes, longer by as many less one, must share: a true pair can't have fewer, others seldom have as many.
+SHARED = 4
+
+
 def prefix_size(n: int, threshold: float) -> int:
-    return n - math.ceil(threshold * n - 1e-9) + 1
+    return min(n, n - math.ceil(threshold * n - 1e-9) + SHARED)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,16 +91,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             s = shingles(text.as_py())
             if s is not None:
-                sketch += np.bincount((s & low).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32) if len(s) > 1 << 18 else 0
-                if len(s) <= 1 << 18:
-                    np.add.at(sketch, (s & low).astype(np.int64), 1)
+                np.add.at(sketch, (s & low).astype(np.int64), 1)
                 blob = pack(s)
                 rows.append((i, xxhash.xxh3_64_intdigest(blob) - (1 << 63), len(s), blob))
         if rows:
             yield out(rows)
     if sketch.any():
-        parts = 16
-        for k, piece in enumerate(np.split(sketch, parts)):
+        for k, piece in enumerate(np.split(sketch, SKETCH_PARTS)):
             yield out([(None, k, None, zlib.compress(piece.astype("<u4").tobytes(), 1))])
 
 
@@ -107,18 +109,20 @@ def shingle_sets(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def summed_sketch(sketches: DataFrame) -> np.ndarray:
-    """The corpus-wide counts of shingle hash classes: 2**SKETCH_BITS numbers whatever the corpus's size, 4 MB."""
+    """The corpus-wide counts of shingle hash classes: 2**SKETCH_BITS numbers whatever the corpus's size, 16 MB."""
 
     def add(pdf):
         import pandas as pd
 
         total = sum(np.frombuffer(zlib.decompress(b), "<u4").astype(np.uint64) for b in pdf["blob"])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "blob": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "blob": [zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)]})
 
-    rows = sketches.groupBy("part").applyInPandas(add, "part bigint, blob binary").collect()
+    # two levels, so that no group holds the pieces of all tasks
+    first = sketches.withColumn("_s", F.pmod(F.xxhash64("blob"), F.lit(16))).groupBy("part", "_s").applyInPandas(lambda pdf: add(pdf), "part bigint, blob binary")
+    rows = first.groupBy("part").applyInPandas(lambda pdf: add(pdf), "part bigint, blob binary").collect()
     if not rows:
         return np.zeros(1 << SKETCH_BITS, np.uint32)
-    return np.concatenate([np.frombuffer(r.blob, "<u4") for r in sorted(rows)])
+    return np.concatenate([np.frombuffer(zlib.decompress(r.blob), "<u4") for r in sorted(rows)])
 
 
 _RECORD = np.dtype([("hash", "<u8"), ("key", "<i8"), ("n", "<u4"), ("pos", "<u4")])
@@ -152,7 +156,7 @@ def _decode(blob: bytes) -> np.ndarray:
 
 def prefix_blocks(sets: DataFrame, sketch: np.ndarray, threshold: float, buckets: int) -> DataFrame:
     """(bucket, blob): the rarest shingles of each set, packed per bucket; equal sets of a task count once."""
-    shared = sets.sparkSession.sparkContext.broadcast(sketch)  # 4 MB, fixed
+    shared = sets.sparkSession.sparkContext.broadcast(sketch)  # 16 MB, fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, low = shared.value, np.uint64((1 << SKETCH_BITS) - 1)
@@ -194,11 +198,11 @@ def prefix_blocks(sets: DataFrame, sketch: np.ndarray, threshold: float, buckets
 
 
 def pairs_in_bucket(r: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
-    """Candidate pairs (two key columns) of one bucket's records, block by block.
+    """Pairs (key_a, key_b, least overlap, shared) of one bucket's records, block by block; a pair may come in several blocks.
 
     Records of a shingle are sorted by set size; each meets those after it while the length filter
     allows.  The smaller set must hold the shingle in its index prefix, and the positions must leave
-    enough shingles after them.
+    enough shingles before and after them.
     """
     r = np.unique(r)  # by hash, then key: copies from several tasks fall together
     r = r[np.lexsort((r["key"], r["n"], r["hash"]))]
@@ -210,14 +214,13 @@ def pairs_in_bucket(r: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
     if not len(start):
         return
     length = end - start
-    rows = np.concatenate([np.arange(a, b) for a, b in zip(start, end)]) if len(start) < 200_000 else np.repeat(start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+    rows = np.repeat(start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
     stop = np.repeat(end, length)
     n, pos = r["n"].astype(np.int64), r["pos"].astype(np.int64)
-    index = n[rows] - np.ceil(2 * threshold / (1 + threshold) * n[rows] - 1e-9).astype(np.int64) + 1
+    index = n[rows] - np.ceil(2 * threshold / (1 + threshold) * n[rows] - 1e-9).astype(np.int64) + SHARED
     ok = pos[rows] < index
     rows, stop = rows[ok], stop[ok]
-    ahead = 1
-    alive = np.arange(len(rows))
+    ahead, alive = 1, np.arange(len(rows))
     found: list[np.ndarray] = []
     size = 0
     while len(alive):
@@ -226,35 +229,44 @@ def pairs_in_bucket(r: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
         alive, a, b = alive[inside], a[inside], b[inside]
         fits = n[a] >= threshold * n[b] - 1e-9
         alive, a, b = alive[fits], a[fits], b[fits]
-        need = np.ceil(threshold / (1 + threshold) * (n[a] + n[b]) - 1e-9)
-        good = (1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1) >= need) & (r["key"][a] != r["key"][b])
+        need = np.ceil(threshold / (1 + threshold) * (n[a] + n[b]) - 1e-9).astype(np.int64)
+        good = np.minimum(pos[a], pos[b]) + 1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1) >= need
         if good.any():
             x, y = r["key"][a[good]], r["key"][b[good]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y), need[good], np.ones(len(x), np.int64)], axis=1))
             size += len(x)
-            if size > 2_000_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                if len(found[0]) > 1_000_000:
-                    yield found[0]
-                    found = []
-                size = sum(map(len, found))
+            if size > 4_000_000:
+                yield _summed(found)
+                found, size = [], 0
         ahead += 1
     if found:
-        yield np.unique(np.concatenate(found), axis=0)
+        yield _summed(found)
+
+
+def _summed(found: list[np.ndarray]) -> np.ndarray:
+    """Rows of equal pairs added up."""
+    p = np.concatenate(found)
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    first = np.flatnonzero(np.concatenate(([True], (p[1:, :2] != p[:-1, :2]).any(axis=1))))
+    out = p[first]
+    out[:, 3] = np.add.reduceat(p[:, 3], first)
+    return out
 
 
 def candidates(blocks: DataFrame, threshold: float) -> DataFrame:
-    """Distinct candidate pairs (key_a < key_b) of set keys."""
+    """Distinct candidate pairs (key_a < key_b, need): pairs whose prefixes share enough shingles over all buckets."""
 
     def run(pdf):
         import pandas as pd
 
         r = np.concatenate([_decode(b) for b in pdf["blob"]])
         found = list(pairs_in_bucket(r, threshold))
-        both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"key_a": both[:, 0], "key_b": both[:, 1]})
+        both = _summed(found) if found else np.zeros((0, 4), np.int64)
+        return pd.DataFrame({"key_a": both[:, 0], "key_b": both[:, 1], "need": both[:, 2], "shared": both[:, 3]})
 
-    return blocks.groupBy("bucket").applyInPandas(run, "key_a bigint, key_b bigint").distinct()
+    parts = blocks.groupBy("bucket").applyInPandas(run, "key_a bigint, key_b bigint, need bigint, shared bigint")
+    added = parts.groupBy("key_a", "key_b", "need").agg(F.sum("shared").alias("shared"))
+    return added.where(F.col("shared") >= F.least(F.lit(SHARED), F.col("need"))).drop("shared")
 
 
 def suffix_allows(a: np.ndarray, b: np.ndarray, need: int, depth: int = 2) -> bool:

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from .functions import symbols as S
 from .functions import vectors as X
 from .functions import vocab as V
+from .operators import codegraph as C
 from .operators import evidence as E
 from .operators import graph as G
 from .operators import jobs as J
 from .operators import orphans
 from .operators import retrieval as R
-from .session import ship, table
+from .session import ship, table, written
+from .sources.files import glob_pattern, low_signal
 
 
 class _Tables:
@@ -114,15 +116,11 @@ def _(t):
 
 @query("src_03_include_glob", "SELECT DISTINCT id, path FROM source_documents WHERE regexp_matches(path, '(^|/)drivers/gpu/[^/]*/[^/]*[.][ch]$')")
 def _(t):
-    from .sources.files import glob_pattern
-
     return t("source_documents").where(F.col("path").rlike(glob_pattern("drivers/gpu/*/*.[ch]"))).select("id", "path").distinct()
 
 
 @query("src_02_low_signal", "SELECT count(*) AS files FROM (SELECT DISTINCT path FROM source_documents WHERE NOT regexp_matches(lower(path), '/ucode/[^/]*[.]h$|ucode[^/]*_signed[.][hc]$'))")
 def _(t):
-    from .sources.files import low_signal
-
     return t("source_documents").where(~low_signal(F.col("path"))).agg(F.countDistinct("path").alias("files"))
 
 
@@ -262,8 +260,6 @@ def _(t):
 
 @query("ret_11_diverse_evidence")
 def _(t):
-    from .session import written
-
     rows = written(R.query_evidence(E.evidence(t("chunks"), t("source_documents")), t("chunks"), _QUESTION, None), "ranked")
     return R.diversified(rows, 24)
 
@@ -468,4 +464,33 @@ query("agg_13_event_histogram", f"SELECT strftime(created_at, '%Y-%m') AS month,
     lambda t: t("job_events").groupBy(F.date_format("created_at", "yyyy-MM").alias("month"), V.job_status(F.col("status")).alias("status")).agg(F.countDistinct("id").alias("events"))
 )
 
+
+# ---------------------------------------------------------------- code graph
+
+
+@query("cod_04_functions")
+def _(t):
+    return C.file_facts(t("chunks"), t("source_documents")).where("fact = 'function'").select("document_id", "path", "name", "line", "line_end")
+
+
+@query("cod_06_call_edges")
+def _(t):
+    return C.call_edges(written(C.file_facts(t("chunks"), t("source_documents")), "facts"))
+
+
+@query("cod_07_register_edges")
+def _(t):
+    return C.access_edges(C.file_facts(t("chunks"), t("source_documents")))
+
+
+@query("cod_13_dispatch_edges")
+def _(t):
+    return C.dispatch_edges(written(C.file_facts(t("chunks"), t("source_documents")), "facts"))
+
+
+@query("ext_15_resolved_symbols")
+def _(t):
+    return C.file_facts(t("chunks"), t("source_documents")).where("fact = 'access'").groupBy("name", "kind").agg(F.count("*").alias("uses"), F.countDistinct("document_id").alias("files"))
+
+
 FLAGSHIP = "ret_15_query_evidence"

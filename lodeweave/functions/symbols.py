@@ -45,14 +45,14 @@ def access_type(text: Column, symbol: Column) -> Column:
     call = r"\s*\([^)]*"
     return (
         F.when(text.contains("REG_SET_FIELD") & text.contains(symbol), F.when(entity_type(symbol) == "field", "field_set").otherwise("read_modify_write"))
-        .when(text.rlike(F.concat(F.lit(r"\bWREG[0-9A-Z_]*" + call), symbol)), "write")
-        .when(text.rlike(F.concat(F.lit(r"\bRREG[0-9A-Z_]*" + call), symbol)), "read")
+        .when(F.regexp_like(text, F.concat(F.lit(r"\bWREG[0-9A-Z_]*" + call), symbol)), "write")
+        .when(F.regexp_like(text, F.concat(F.lit(r"\bRREG[0-9A-Z_]*" + call), symbol)), "read")
         .otherwise("mention")
     )
 
 
 def confidence(text: Column, symbol: Column) -> Column:
-    return F.when(text.rlike(F.concat(F.lit(r"\b"), symbol, F.lit(r"\b"))), 0.95).otherwise(0.75)
+    return F.when(F.regexp_like(text, F.concat(F.lit(r"\b"), symbol, F.lit(r"\b"))), 0.95).otherwise(0.75)
 
 
 def snippet(text: Column, symbol: Column) -> Column:

@@ -255,7 +255,7 @@ _SHAPES_CPP: dict[str, tuple] = {}
 _SHAPES_PY: dict[str, tuple] = {}
 
 _JSON_SIGN = re.compile(
-    r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![\w.])|\w+|[^ \t\r\n]'
+    r'(?P<s>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<n>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?![\w.])|\w+|[^ \t\r\n]'
 )
 
 
@@ -272,12 +272,9 @@ class JsonParser:
             self.n += 1
             if self.error:
                 return
-            signs = tuple("S" if s[0] == '"' and len(s) > 1 else "0" if s[0] in "-0123456789" and not s.isalpha() else s for s in _JSON_SIGN.findall(line))
-            if any(s == "-" for s in signs):
-                self.error = (self.n, "unexpected -")
-                return
+            signs = tuple("S" if m.lastgroup == "s" else "0" if m.lastgroup == "n" else m[0] if m[0] not in ("S", "0") else "?" for m in _JSON_SIGN.finditer(line))
             if signs:
-                after, bad = self.r.line(self.config, tuple("0" if _is_number(s) else s for s in signs))
+                after, bad = self.r.line(self.config, signs)
                 if bad >= 0:
                     self.error = (self.n, f"unexpected {signs[bad]}"[:60])
                     return
@@ -289,10 +286,6 @@ class JsonParser:
         return self.error
 
 
-def _is_number(s: str) -> bool:
-    return s == "0"
-
-
 _PY_TEXT = re.compile(
     r"""#[^\n]*|(?:\b(?:[rR][bBfF]?|[bBfFuU][rR]?))?(?:(?P<q>\"{3}|'{3})(?:(?:\\.|[^\\])*?(?P=q)|(?P<open>.*\Z))|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|\\\n""",
     re.S,

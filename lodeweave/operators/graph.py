@@ -200,3 +200,11 @@ def nearby(edges: DataFrame, reach: int = 2, most: int = 80) -> DataFrame:
     hit = probe.join(point, ["path", "_b"]).where((F.col("_at") >= F.col("line_start") - reach) & (F.col("_at") <= F.col("line_end") + reach) & (F.col("id") != F.col("near_id")))
     order = W.partitionBy("id").orderBy("distance", "near_id")
     return hit.select("id", "near_id", F.abs(F.col("_at") - F.col("line_start")).alias("distance")).distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
+def node_lines(edges: DataFrame) -> DataFrame:
+    """(node, outs, ins): a node's edges as distinct sorted `relation target` and `source relation` lines."""
+    lines = lambda c: F.array_join(F.sort_array(F.collect_set(c)), "; ")
+    out = edges.groupBy(F.col("src").alias("node")).agg(lines(F.concat_ws(" ", "relation", label(F.col("dst")))).alias("outs"))
+    into = edges.groupBy(F.col("dst").alias("node")).agg(lines(F.concat_ws(" ", label(F.col("src")), "relation")).alias("ins"))
+    return out.join(into, "node", "full").select("node", F.coalesce("outs", F.lit("")).alias("outs"), F.coalesce("ins", F.lit("")).alias("ins"))

@@ -89,3 +89,12 @@ def embedding_coverage(chunks: DataFrame, embeddings: DataFrame, key: str) -> Da
     e = embeddings.select(F.col(key).alias("id")).distinct().withColumn("_e", F.lit(1))
     g = c.join(e, "id", "left").agg(F.count("*").alias("chunks"), F.count("_e").alias("embedded"))
     return g.withColumn("missing", F.col("chunks") - F.col("embedded")).withColumn("verdict", F.when(F.col("missing") == 0, "pass").when(F.col("embedded") > 0, "partial").otherwise("fail"))
+
+
+def stale_semantic(edges: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row of counts over semantic edges: all, without a job, older than the floor, of a job that isn't known."""
+    e = edges.where("stage = 'semantic'").select(F.expr("try_cast(get_json_object(provenance_json, '$.job_id') as bigint)").alias("job_id"))
+    known = clean_jobs(jobs).select(F.col("id").alias("job_id"), F.lit(1).alias("_k"))
+    e = e.join(known, "job_id", "left").crossJoin(F.broadcast(freshness_floor(jobs)))  # one row
+    n = lambda c: F.count(F.when(c, 1))
+    return e.agg(F.count("*").alias("semantic"), n(F.col("job_id").isNull()).alias("without_job"), n(F.col("job_id") < F.col("floor")).alias("stale"), n(F.col("job_id").isNotNull() & F.col("_k").isNull()).alias("unknown_job"))

@@ -13,10 +13,11 @@ from .operators import codegraph as C
 from .operators import evidence as E
 from .operators import graph as G
 from .operators import jobs as J
-from .operators import orphans
+from .operators import orphans, semantic
 from .operators import retrieval as R
 from .session import ship, table, written
 from .sources.files import glob_pattern, low_signal
+from .sources.sinks import without_corpus
 
 
 class _Tables:
@@ -74,7 +75,8 @@ ev AS (SELECT id chunk_id, document_id, path, source_type, symbol, page, line_st
   CASE WHEN contains(text, 'REG_SET_FIELD') THEN CASE WHEN {_ENTITY} = 'field' THEN 'field_set' ELSE 'read_modify_write' END
        WHEN len(list_filter(regexp_extract_all(text, '\\bWREG[0-9A-Z_]*\\s*\\(([^)]*)', 1), lambda a: contains(a, symbol))) > 0 THEN 'write'
        WHEN len(list_filter(regexp_extract_all(text, '\\bRREG[0-9A-Z_]*\\s*\\(([^)]*)', 1), lambda a: contains(a, symbol))) > 0 THEN 'read' ELSE 'mention' END access_type,
-  {_BLOCK.format("symbol || ' ' || path")} ip_block FROM x)"""
+  {_BLOCK.format("symbol || ' ' || path")} ip_block,
+  CASE WHEN list_contains(regexp_extract_all(text, '[0-9A-Za-z_]+'), split_part(symbol, '->', 1)) AND list_contains(regexp_extract_all(text, '[0-9A-Za-z_]+'), split_part(symbol, '->', -1)) THEN 0.95 ELSE 0.75 END confidence FROM x)"""
 
 # ---------------------------------------------------------------- references (problem 3)
 
@@ -138,9 +140,9 @@ def _(t):
     return E.chunk_symbols(E.chunk_rows(t("chunks"), t("source_documents"))).select("id", "symbol")
 
 
-@query("ext_04_evidence", f"WITH {_EVIDENCE} SELECT chunk_id, symbol, source_type, entity_type, access_type, ip_block FROM ev")
+@query("ext_04_evidence", f"WITH {_EVIDENCE} SELECT chunk_id, symbol, source_type, entity_type, access_type, ip_block, CAST(confidence AS DOUBLE) AS confidence FROM ev")
 def _(t):
-    return E.evidence(t("chunks"), t("source_documents"), False).select("chunk_id", "symbol", "source_type", "entity_type", "access_type", "ip_block")
+    return E.evidence(t("chunks"), t("source_documents"), False).select("chunk_id", "symbol", "source_type", "entity_type", "access_type", "ip_block", "confidence")
 
 
 @query(
@@ -493,4 +495,201 @@ def _(t):
     return C.file_facts(t("chunks"), t("source_documents")).where("fact = 'access'").groupBy("name", "kind").agg(F.count("*").alias("uses"), F.countDistinct("document_id").alias("files"))
 
 
+# ---------------------------------------------------------------- more filters, joins and projections
+
+
+@query(
+    "scl_05_ip_versions",
+    rf"""SELECT DISTINCT path, {_BLOCK.format('path')} AS ip_block, CASE WHEN regexp_matches(path, '(v|_)(\d{{1,2}})[_.-](\d)') THEN regexp_extract(path, '(v|_)(\d{{1,2}})[_.-](\d)', 2) || '.' || regexp_extract(path, '(v|_)(\d{{1,2}})[_.-](\d)', 3) ELSE '' END AS ip_version FROM source_documents WHERE path IS NOT NULL""",
+)
+def _(t):
+    p = F.col("path")
+    return t("source_documents").where("path is not null").select("path", V.ip_block(p, F.lit("")).alias("ip_block"), V.ip_version(p).alias("ip_version")).distinct()
+
+
+@query("scl_06_languages", "SELECT CASE WHEN regexp_matches(lower(path), '[.](c|h)$') THEN 'c' WHEN regexp_matches(lower(path), '[.](cc|cpp|hpp|cxx|hh)$') THEN 'cpp' WHEN lower(path) LIKE '%.py' THEN 'python' ELSE 'unknown' END AS language, count(DISTINCT path) AS files FROM source_documents GROUP BY 1")
+def _(t):
+    return t("source_documents").groupBy(V.language(F.col("path")).alias("language")).agg(F.countDistinct("path").alias("files"))
+
+
+@query("scl_10_repositories", "SELECT CASE WHEN length(regexp_replace(trim(repo), '[.]git/?$', '')) > 0 THEN regexp_replace(trim(repo), '[.]git/?$', '') ELSE 'unknown' END AS repo, count(DISTINCT id) AS files FROM source_documents GROUP BY 1")
+def _(t):
+    return t("source_documents").groupBy(V.repository(F.col("repo")).alias("repo")).agg(F.countDistinct("id").alias("files"))
+
+
+@query(
+    "scl_10_section_ids",
+    """WITH c AS (SELECT DISTINCT ON (id) id, document_id, text, page, line_start FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL AND NOT contains(text, chr(13))),
+d AS (SELECT id document_id, max(path) path FROM source_documents GROUP BY 1),
+s AS (SELECT c.*, path, trim(regexp_replace(lower(trim(regexp_extract(text, '(?m)^(\\d+: )?#{1,6}[ \\t]+(.+)$', 2))), '[^a-z0-9]+', '-', 'g'), '-') slug FROM c JOIN d USING (document_id))
+SELECT id, path || '#' || CASE WHEN slug <> '' THEN slug WHEN page > 0 THEN 'page-' || page WHEN line_start IS NOT NULL THEN 'lines-' || line_start ELSE 'section' END AS section FROM s""".replace("\\\\", "\\"),
+)
+def _(t):
+    d = t("source_documents").groupBy(F.col("id").alias("document_id")).agg(F.max("path").alias("path"))
+    c = t("chunks").where(F.col("id").isNotNull() & F.col("text").isNotNull() & ~F.col("text").contains("\r")).dropDuplicates(["id"]).select("id", "document_id", "text", "page", "line_start")
+    return c.join(d, "document_id").select("id", V.section_id(F.col("path"), F.col("text"), F.col("page"), F.col("line_start")).alias("section"))
+
+
+@query("scl_11_function_concepts", f"WITH {_EDGES}, n AS (SELECT src node FROM e UNION SELECT dst FROM e) SELECT regexp_replace(split_part(node, ':', -1), '_[0-9a-z][0-9a-z]$', '') AS concept, count(*) AS implementations FROM n WHERE node LIKE 'function:%' GROUP BY 1")
+def _(t):
+    n = G.clean_edges(t("edges")).select(F.explode(F.array("src", "dst")).alias("node")).where("node like 'function:%'").distinct()
+    return n.groupBy(F.regexp_replace(G.label(F.col("node")), "_[0-9a-z]{2}$", "").alias("concept")).agg(F.count("*").alias("implementations"))
+
+
+@query("flt_01_wrapper_endpoints", f"WITH {_EDGES} SELECT count(*) AS edges FROM e WHERE NOT regexp_matches(split_part(src, ':', -1), '^(RREG|WREG|SOC15_REG_|REG_FIELD_)') AND NOT regexp_matches(split_part(dst, ':', -1), '^(RREG|WREG|SOC15_REG_|REG_FIELD_)')")
+def _(t):
+    return G.clean_edges(t("edges")).where(~S.is_wrapper(G.label(F.col("src"))) & ~S.is_wrapper(G.label(F.col("dst")))).agg(F.count("*").alias("edges"))
+
+
+@query("flt_05_like_any", "SELECT DISTINCT id FROM graph_nodes WHERE lower(label) LIKE '%ring_%' OR lower(label) LIKE '%status%' OR lower(id) LIKE '%vm_%'")
+def _(t):
+    return t("graph_nodes").where(F.lower("label").like("%ring_%") | F.lower("label").like("%status%") | F.lower("id").like("%vm_%")).select("id").distinct()
+
+
+@query("flt_06_symbol_aliases", "WITH a AS (SELECT unnest(['gc_ring_status', 'sdma_tile_config', 'rlc_port_base']) token), x AS (SELECT token AS alias FROM a UNION SELECT upper(token) FROM a UNION SELECT p || upper(token) FROM a, (SELECT unnest(['reg', 'mm', 'smn']) p)) SELECT DISTINCT id, label FROM graph_nodes n WHERE EXISTS (SELECT 1 FROM x WHERE starts_with(n.label, alias))")
+def _(t):
+    tokens = ["gc_ring_status", "sdma_tile_config", "rlc_port_base"]
+    names = list(dict.fromkeys(a for k in tokens for a in (k, k.upper(), *(p + k.upper() for p in ("reg", "mm", "smn")))))
+    return t("graph_nodes").where(R.any_of([F.col("label").startswith(a) for a in names])).select("id", "label").distinct()
+
+
+@query("flt_07_meaningful_symbols", f"WITH {_CHUNKS} SELECT count(DISTINCT symbol) AS symbols FROM s WHERE length(symbol) >= 3 AND (contains(symbol, '->') OR contains(symbol, '_') OR regexp_matches(symbol, '[0-9]') OR regexp_matches(symbol, '^(reg|mm|smn)[A-Z]'))")
+def _(t):
+    s = E.chunk_symbols(E.chunk_rows(t("chunks"), t("source_documents")))
+    return s.where("length(symbol) >= 3").where(F.col("symbol").rlike("->|_|[0-9]|^(?:reg|mm|smn)[A-Z]")).agg(F.countDistinct("symbol").alias("symbols"))
+
+
+@query("flt_13_callback_pollution", f"WITH {_EDGES} SELECT id, src, dst FROM e WHERE relation = 'calls' AND (NOT regexp_matches(split_part(src, ':', -1), '^[A-Za-z_][A-Za-z0-9_]*$') OR NOT regexp_matches(split_part(dst, ':', -1), '^[A-Za-z_][A-Za-z0-9_]*$'))")
+def _(t):
+    bad = lambda c: ~G.label(F.col(c)).rlike("^[A-Za-z_][A-Za-z0-9_]*$")
+    return G.clean_edges(t("edges")).where((F.col("relation") == "calls") & (bad("src") | bad("dst"))).select("id", "src", "dst")
+
+
+@query("jon_05_chunk_facts", f"WITH {_EVIDENCE} SELECT c.id, count(ev.symbol) AS evidence FROM c JOIN d USING (document_id) LEFT JOIN ev ON ev.chunk_id = c.id GROUP BY 1")
+def _(t):
+    rows = E.chunk_rows(t("chunks"), t("source_documents"))
+    n = E.chunk_symbols(rows).groupBy("id").agg(F.count("*").alias("_n"))
+    return rows.select("id").join(n, "id", "left").select("id", F.coalesce("_n", F.lit(0)).alias("evidence"))
+
+
+@query("jon_15_edges_of_valid_jobs", f"WITH {_EDGES}, {_JOBS} SELECT e.id FROM e WHERE CASE WHEN json_valid(provenance_json) THEN try_cast(provenance_json ->> '$.job_id' AS BIGINT) END IN (SELECT id FROM j WHERE status = 'succeeded')")
+def _(t):
+    e = G.clean_edges(t("edges")).withColumn("job_id", F.expr("try_cast(get_json_object(provenance_json, '$.job_id') as bigint)"))
+    return e.join(J.clean_jobs(t("jobs")).where("status = 'succeeded'").select(F.col("id").alias("job_id")), "job_id", "left_semi").select("id")
+
+
+@query("agg_05_node_lines", f"""WITH {_WEIGHTED}, o AS (SELECT src node, array_to_string(list_sort(list_distinct(list(relation || ' ' || split_part(dst, ':', -1)))), '; ') outs FROM w GROUP BY 1),
+i AS (SELECT dst node, array_to_string(list_sort(list_distinct(list(split_part(src, ':', -1) || ' ' || relation))), '; ') ins FROM w GROUP BY 1)
+SELECT coalesce(o.node, i.node) AS node, coalesce(outs, '') AS outs, coalesce(ins, '') AS ins FROM o FULL JOIN i ON i.node = o.node""")
+def _(t):
+    return G.node_lines(_weighted(t))
+
+
+@query("agg_07_expansion_merge", f"WITH {_EDGES} SELECT src, dst, relation, stage, max(greatest(0.05, least(1.0, CASE WHEN confidence IS NULL OR confidence = 0 THEN 0.5 ELSE confidence END))) AS confidence, count(*) AS count FROM e GROUP BY 1, 2, 3, 4")
+def _(t):
+    return G.clean_edges(t("edges")).groupBy("src", "dst", "relation", "stage").agg(F.max(V.edge_confidence(F.col("confidence"))).alias("confidence"), F.count("*").alias("count"))
+
+
+@query("agg_04_node_conflicts", "WITH n AS (SELECT DISTINCT id, kind, label FROM graph_nodes) SELECT id, min(label) AS label, count(DISTINCT label) > 1 AS conflict FROM n GROUP BY 1")
+def _(t):
+    return t("graph_nodes").groupBy("id").agg(F.min("label").alias("label"), (F.countDistinct("label") > 1).alias("conflict"))
+
+
+@query("grf_08_section_overlay", f"WITH {_EVIDENCE} SELECT path, symbol, round(CAST(max(confidence) AS DOUBLE) * 0.92, 4) AS confidence, count(*) AS mentions FROM ev WHERE source_type IN ('doc', 'pdf') GROUP BY 1, 2")
+def _(t):
+    ev = E.evidence(t("chunks"), t("source_documents"), False).where(F.col("source_type").isin("doc", "pdf"))
+    return ev.groupBy("path", "symbol").agg(F.round(F.max("confidence") * 0.92, 4).alias("confidence"), F.count("*").alias("mentions"))
+
+
+@query("grf_14_protected_edges", f"WITH {_WEIGHTED} SELECT src, dst, relation FROM w WHERE stage = 'semantic'")
+def _(t):
+    return _weighted(t).where("stage = 'semantic'").select("src", "dst", "relation")
+
+
+@query("grf_20_contract", f"WITH {_EDGES}, n AS (SELECT src node FROM e UNION SELECT dst FROM e) SELECT count(*) AS nodes, count(*) FILTER (WHERE NOT (node LIKE 'register:%' OR node LIKE 'function:%' OR contains(node, '#') OR contains(node, '.'))) AS outside, count(*) FILTER (WHERE node NOT IN (SELECT trim(id) FROM graph_nodes WHERE id IS NOT NULL)) AS unknown FROM n")
+def _(t):
+    n = G.clean_edges(t("edges")).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    known = t("graph_nodes").where("id is not null").select(F.trim("id").alias("node")).distinct().withColumn("_k", F.lit(1))
+    ok = F.col("node").startswith("register:") | F.col("node").startswith("function:") | F.col("node").contains("#") | F.col("node").contains(".")
+    return n.join(known, "node", "left").agg(F.count("*").alias("nodes"), F.sum((~ok).cast("bigint")).alias("outside"), F.sum(F.col("_k").isNull().cast("bigint")).alias("unknown"))
+
+
+@query("grf_01_neighbour_counts", f"WITH {_EDGES}, b AS (SELECT src a, dst b FROM e UNION SELECT dst, src FROM e) SELECT a AS node, count(*) AS neighbours FROM b GROUP BY 1")
+def _(t):
+    e = G.clean_edges(t("edges"))
+    both = e.select(F.col("src").alias("node"), F.col("dst").alias("b")).union(e.select("dst", "src")).distinct()
+    return both.groupBy("node").agg(F.count("*").alias("neighbours"))
+
+
+@query("frs_04_stale_semantic", f"""WITH {_EDGES}, {_JOBS}, f AS (SELECT max(id) floor FROM j WHERE status = 'succeeded' AND kind IN ('index', 'graph_rebuild')),
+q AS (SELECT CASE WHEN json_valid(provenance_json) THEN try_cast(provenance_json ->> '$.job_id' AS BIGINT) END job_id FROM e WHERE stage = 'semantic')
+SELECT count(*) AS semantic, count(*) FILTER (WHERE job_id IS NULL) AS without_job, count(*) FILTER (WHERE job_id < floor) AS stale, count(*) FILTER (WHERE job_id NOT IN (SELECT id FROM j)) AS unknown_job FROM q, f""")
+def _(t):
+    return J.stale_semantic(G.clean_edges(t("edges")), t("jobs"))
+
+
+@query("frs_02_job_providers", f"WITH {_JOBS} SELECT id, CASE WHEN json_valid(metadata_json) THEN metadata_json ->> '$.provider_settings.edge.provider' END AS provider, CASE WHEN json_valid(metadata_json) THEN metadata_json ->> '$.provider_settings.edge.model' END AS model FROM j")
+def _(t):
+    return J.clean_jobs(t("jobs")).select("id", "provider", "model")
+
+
+@query("snk_04_delete_corpus", """WITH gone AS (SELECT DISTINCT id FROM source_documents WHERE corpus_id = 'vexa-mxvirt')
+SELECT (SELECT count(DISTINCT id) FROM source_documents WHERE corpus_id IS DISTINCT FROM 'vexa-mxvirt') AS documents, (SELECT count(DISTINCT id) FROM chunks WHERE document_id IS NULL OR document_id NOT IN (SELECT id FROM gone WHERE id IS NOT NULL)) AS chunks,
+(SELECT count(DISTINCT id) FROM edges WHERE coalesce(CASE WHEN json_valid(provenance_json) THEN provenance_json ->> '$.corpus_id' END, '') <> 'vexa-mxvirt') AS edges""")
+def _(t):
+    d, c, e = without_corpus(t("source_documents"), t("chunks"), t("edges"), ["vexa-mxvirt"])
+    one = lambda df, name: df.agg(F.countDistinct("id").alias(name))
+    return one(d, "documents").crossJoin(one(c, "chunks")).crossJoin(one(e, "edges"))  # one row each
+
+
+@query("cli_02_source_facets", f"WITH {_WEIGHTED} SELECT coalesce(source, 'none') AS source, count(*) AS edges FROM (SELECT unnest(CASE WHEN len(sources) = 0 THEN ['none'] ELSE sources END) source FROM w) GROUP BY 1")
+def _(t):
+    w = _weighted(t).select(F.explode(F.when(F.size("sources") == 0, F.array(F.lit("none"))).otherwise(F.col("sources"))).alias("source"))
+    return w.groupBy("source").agg(F.count("*").alias("edges"))
+
+
+@query("cli_07_display_weights", f"WITH {_WEIGHTED} SELECT src, dst, relation, greatest(0.08, least(1.0, coalesce(weight, confidence, 0.5))) AS weight FROM w")
+def _(t):
+    return _weighted(t).select("src", "dst", "relation", V.clamp(F.coalesce("weight", "confidence", F.lit(0.5)), 0.08, 1.0).alias("weight"))
+
+
+@query("cli_11_lifecycles", f"WITH v AS (SELECT DISTINCT id, job_id, {_STATUS.format('status')} status FROM job_events WHERE id IS NOT NULL AND job_id IS NOT NULL) SELECT job_id, string_agg(status, ' -> ' ORDER BY id) AS lifecycle FROM v GROUP BY 1")
+def _(t):
+    v = t("job_events").where("id is not null and job_id is not null").dropDuplicates(["id"]).select("id", "job_id", V.job_status(F.col("status")).alias("status"))
+    return v.groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "status"))), lambda x: x["status"]), " -> ").alias("lifecycle"))
+
+
+@query("ord_03_top_symbols_per_document", f"WITH {_EVIDENCE}, k AS (SELECT document_id, symbol, count(*) AS chunks FROM ev GROUP BY 1, 2) SELECT document_id, symbol, chunks, row_number() OVER (PARTITION BY document_id ORDER BY chunks DESC, symbol) AS place FROM k QUALIFY place <= 5")
+def _(t):
+    k = E.chunk_symbols(E.chunk_rows(t("chunks"), t("source_documents")).select("id", "document_id", "text", "source_type")).groupBy("document_id", "symbol").agg(F.count("*").alias("chunks"))
+    place = F.row_number().over(W.partitionBy("document_id").orderBy(F.desc("chunks"), "symbol"))
+    return k.withColumn("place", place).where("place <= 5")
+
+
+@query("sem_01_candidates")
+def _(t):
+    return semantic.candidates(E.evidence(t("chunks"), t("source_documents")))
+
+
+@query("sem_04_persistable", f"WITH {_EDGES}, n AS (SELECT DISTINCT trim(id) id FROM graph_nodes WHERE id IS NOT NULL) SELECT src, relation, dst, max(confidence) AS confidence FROM e WHERE src <> dst AND src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n) GROUP BY 1, 2, 3")
+def _(t):
+    return semantic.persistable(G.clean_edges(t("edges")), t("graph_nodes").where("id is not null").select(F.trim("id").alias("id")))
+
+
+@query("ext_12_term_edges", f"""WITH {_CHUNKS}, k AS (SELECT document_id, id, symbol, row_number() OVER (PARTITION BY id ORDER BY symbol) p FROM s JOIN c USING (id) WHERE regexp_matches(symbol, '^(mm|reg|smn)[A-Z]'))
+SELECT a.symbol AS src, b.symbol AS dst, count(*) AS chunks FROM k a JOIN k b ON a.id = b.id AND b.p = a.p + 1 GROUP BY 1, 2""")
+def _(t):
+    s = E.chunk_symbols(E.chunk_rows(t("chunks"), t("source_documents"))).where(F.col("symbol").rlike("^(?:mm|reg|smn)[A-Z]")).select("id", "symbol")
+    nxt = F.lead("symbol").over(W.partitionBy("id").orderBy("symbol"))
+    return s.withColumn("dst", nxt).where("dst is not null").groupBy(F.col("symbol").alias("src"), "dst").agg(F.count("*").alias("chunks"))
+
+
+@query("ret_16_reciprocal_rank")
+def _(t):
+    k = E.evidence(t("chunks"), t("source_documents")).where("access_type = 'write'")
+    ranked = R.query_evidence(k, t("chunks"), "who writes the SDMA ring registers", None)
+    ranked = written(ranked.orderBy(*R.rank_order()).limit(200).withColumn("rank", F.row_number().over(W.orderBy(*R.rank_order()))).select(F.lit("q").alias("case_id"), "rank", F.col("symbol").alias("key")), "ranked")
+    return R.reciprocal_rank(ranked, ranked.where("key like '%STATUS%'").select("case_id", "key").distinct())
+
+
 FLAGSHIP = "ret_15_query_evidence"

@@ -1,9 +1,12 @@
 """Subject areas of documents: bisecting k-means over normalised term vectors, leaves named by their discriminative terms, subjects by leaf mixture.
 
-Null texts give no subject; a document whose sentences hold no known term takes the subject of the
-most frequent leaf; repeated doc_ids count once; extra columns are ignored; without documents the
-result is empty.  Every statistic (term counts, inverse document frequencies, clusters) covers all
-documents.  Labelled documents name the leaves: at most ``LABELLED`` of them are read.
+Null texts give no subject; a document whose sentences hold no known term takes the most frequent
+subject of the labels; repeated doc_ids count once; extra columns are ignored; without documents or
+labels the result is empty.  Every statistic (term counts, inverse document frequencies, clusters)
+covers all documents.  Labelled documents name the leaves: at most ``LABELLED`` of them are read.
+
+Texts are read twice, once to count terms and once to turn sentences into term numbers; all later
+passes run over those numbers.
 """
 
 from __future__ import annotations
@@ -13,48 +16,186 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 
 #: Terms of the vectors, leaves of the tree, labelled documents that may be read: all fixed, whatever the corpus's size.
 TERMS, LEAVES, LABELLED = 8192, 48, 20_000
+#: Passes over the documents per level of the tree.
+ROUNDS = 4
 #: Terms in a larger share of the documents than this say nothing of their subject.
 MAX_SHARE = 0.3
 #: Terms whose weight for a subject is a smaller part of that of its best terms are too weak to tell anything.
 CLEAR = 0.3
 #: Weight that a sentence's terms must reach together for the sentence to deal with a subject.
 SPEAKS = 1.0
+_TOKEN = re.compile(r"\w+")
 _WORD = re.compile(r"[a-zà-öø-ÿœß]{3,}")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def terms(text: Column) -> Column:
-    """Words of at least three letters and their neighbours in pairs."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\w])([a-zà-öø-ÿœß]{3,})(?![\w])"), 0)
-    return words
+def words(text: str) -> list[str]:
+    """Words of at least three letters; names of registers and numbers aren't words."""
+    return [x for x in _TOKEN.findall(text) if _WORD.fullmatch(x)]
 
 
-def vectors(documents: DataFrame) -> tuple[DataFrame, list[str], np.ndarray]:
-    """(doc_id, features), the vocabulary, and the inverse document frequencies."""
-    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
-    words = docs.select("doc_id", terms(F.col("text")).alias("w"))
-    both = words.select("doc_id", F.concat("w", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).alias("terms"))
-    counted = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=TERMS, minDF=3.0, maxDF=MAX_SHARE).fit(both)
-    tf = counted.transform(both).select("doc_id", "tf")
-    weigh = IDF(inputCol="tf", outputCol="tfidf").fit(tf)
-    full = Normalizer(inputCol="tfidf", outputCol="features").transform(weigh.transform(tf)).select("doc_id", "features")
-    return written(full, "vectors"), counted.vocabulary, weigh.idf.toArray()
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, n): in how many documents each word and each pair of neighbours occurs; tasks add up before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, int] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                w = words(text.as_py().lower())
+                for t in {*w, *map(" ".join, zip(w, w[1:]))}:
+                    held[t] = held.get(t, 0) + 1
+                if len(held) > 300_000:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    return docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def encoded(docs: DataFrame, vocabulary: list[str], idf: np.ndarray) -> DataFrame:
+    """(doc_id, ids, ends, vec_ids, vec): term numbers of the sentences one after the other, where each sentence ends, and the unit tf-idf vector."""
+    shared = docs.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(vocabulary)}, idf))  # at most TERMS terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, weight = shared.value
+        names = ["doc_id", "ids", "ends", "vec_ids", "vec"]
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids: list[int] = []
+                ends: list[int] = []
+                for s in _SENTENCE.split(text.as_py().lower()):
+                    w = words(s)
+                    ids += [index[x] for x in w if x in index]
+                    ids += [index[p] for p in map(" ".join, zip(w, w[1:])) if p in index]
+                    if ids and (not ends or ends[-1] < len(ids)):
+                        ends.append(len(ids))
+                terms, tf = np.unique(np.array(ids, np.uint16), return_counts=True)
+                v = (tf * weight[terms]).astype("<f4")
+                v /= max(float(np.linalg.norm(v)), 1e-12)
+                rows.append((i, np.array(ids, "<u2").tobytes(), np.array(ends, "<u4").tobytes(), terms.astype("<u2").tobytes(), v.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), *[pa.binary()] * 4])], names=names)
+
+    return docs.mapInArrow(run, "doc_id bigint, ids binary, ends binary, vec_ids binary, vec binary")
 
 
-def leaves(points: DataFrame, seed: int = 7) -> np.ndarray:
-    """Unit centres of the leaves."""
-    model = BisectingKMeans(k=LEAVES, maxIter=6, seed=seed, distanceMeasure="cosine", featuresCol="features").fit(points)
-    centres = np.array(model.clusterCenters())
-    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+def vectors(documents: DataFrame) -> tuple[DataFrame, list[str], np.ndarray]:
+    """The encoded documents, the vocabulary, and the inverse document frequencies."""
+    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    total = docs.count()
+    known = term_counts(docs).where((F.col("n") >= min(3, total)) & (F.col("n") <= max(1, MAX_SHARE * total)))
+    rows = known.orderBy(F.desc("n"), "term").limit(TERMS).collect()  # the vocabulary's size is fixed
+    vocabulary = [r.term for r in rows]
+    idf = np.log((total + 1) / (np.array([r.n for r in rows], float) + 1))
+    return written(encoded(docs, vocabulary, idf).dropDuplicates(["doc_id"]), "encoded"), vocabulary, idf
+
+
+class Tree:
+    """Nodes of the bisection: unit centres by node, children of split nodes."""
+
+    def __init__(self, centres: np.ndarray) -> None:
+        self.centres, self.children = centres, {}
+
+    def descend(self, ids: np.ndarray, vals: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Leaf of each vector; vectors are flat, one after the other."""
+        node = np.zeros(len(ends), np.int64)
+        starts = np.concatenate(([0], ends[:-1]))
+        split = np.zeros(len(self.centres), bool)
+        pair = np.zeros((len(self.centres), 2), np.int64)
+        for k, c in self.children.items():
+            split[k], pair[k] = True, c
+        owner = np.repeat(np.arange(len(ends)), ends - starts)
+        while True:
+            go = split[node]
+            if not go.any():
+                return node
+            keep = go[owner]
+            own, i, v = owner[keep], ids[keep], vals[keep]
+            side = [np.bincount(own, weights=self.centres[pair[node[own], k], i] * v, minlength=len(ends)) for k in (0, 1)]
+            node = np.where(go, pair[node, (side[1] > side[0]).astype(np.int64)], node)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, b = batch.column("vec_ids").to_pylist(), batch.column("vec").to_pylist()
+    ends = np.cumsum([len(x) // 2 for x in a])
+    return np.frombuffer(b"".join(a), "<u2").astype(np.int64), np.frombuffer(b"".join(b), "<f4").astype(np.float64), ends
+
+
+def _sums(points: DataFrame, tree: Tree, terms: int) -> dict[int, tuple[int, np.ndarray]]:
+    """Per leaf the number and the sum of its vectors: one pass over all documents, one row per task and leaf."""
+    shared = points.sparkSession.sparkContext.broadcast(tree)  # at most 2 * LEAVES * TERMS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        count = np.zeros(len(t.centres), np.int64)
+        total = np.zeros((len(t.centres), terms))
+        for batch in batches:
+            if batch.num_rows:
+                ids, vals, ends = _flat(batch)
+                node = t.descend(ids, vals, ends)
+                count += np.bincount(node, minlength=len(count))
+                owner = np.repeat(node, np.diff(np.concatenate(([0], ends))))
+                total += np.bincount(owner * terms + ids, weights=vals, minlength=total.size).reshape(total.shape)
+        used = np.flatnonzero(count)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(count[used], pa.int64()), pa.array([total[k].astype("<f4").tobytes() for k in used], pa.binary())], names=["leaf", "n", "total"])
+
+    def add(pdf):
+        import pandas as pd
+
+        total = sum(np.frombuffer(b, "<f4").astype(float) for b in pdf["total"])
+        return pd.DataFrame({"leaf": [pdf["leaf"].iloc[0]], "n": [pdf["n"].sum()], "total": [total.astype("<f4").tobytes()]})
+
+    parts = points.select("vec_ids", "vec").mapInArrow(run, "leaf bigint, n bigint, total binary")
+    halves = parts.withColumn("_s", F.pmod(F.xxhash64("total"), F.lit(8))).groupBy("leaf", "_s").applyInPandas(lambda pdf: add(pdf), "leaf bigint, n bigint, total binary") if int(points.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) > 64 else parts
+    return {r.leaf: (r.n, np.frombuffer(r.total, "<f4").astype(float)) for r in halves.groupBy("leaf").applyInPandas(lambda pdf: add(pdf), "leaf bigint, n bigint, total binary").collect()}
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
+
+
+def leaves(points: DataFrame, terms: int, most: int = LEAVES, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+    """Unit centres of the leaves: all leaves that are large enough split at once, largest first, until there are ``most``.
+
+    A split starts from the parent's centre with its terms weighed up and down at random, and
+    settles in ``rounds`` passes.
+    """
+    rng = np.random.default_rng(seed)
+    tree = Tree(np.zeros((1, terms)))
+    sums = _sums(points, tree, terms)
+    if not sums:
+        return np.zeros((0, terms))
+    total = sum(n for n, _ in sums.values())
+    tree.centres = _unit(sums[0][1])[None, :]
+    while True:
+        room = most - len(sums)
+        large = sorted((k for k, (n, _) in sums.items() if n >= max(4, total // (4 * most))), key=lambda k: (-sums[k][0], k))[:room]
+        if not large:
+            break
+        for k in large:
+            sign = rng.choice([-0.5, 0.5], terms)
+            base = len(tree.centres)
+            tree.centres = np.concatenate([tree.centres, _unit(np.stack([sums[k][1] * (1 + sign), sums[k][1] * (1 - sign)]))])
+            tree.children[k] = (base, base + 1)
+        for _ in range(rounds):
+            sums = _sums(points, tree, terms)
+            for k, (n, v) in sums.items():
+                tree.centres[k] = _unit(v)
+    return tree.centres[sorted(sums)]
 
 
 def discriminative(centres: np.ndarray) -> np.ndarray:
@@ -91,11 +232,11 @@ def leaf_subjects(points: DataFrame, labels: DataFrame, centres: np.ndarray) ->
     named = labels.where("doc_id is not null and subject is not null").select("doc_id", "subject").distinct()
     some = named.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     some = some.orderBy(F.xxhash64("doc_id")).limit(LABELLED)  # a documented bound on what names the leaves
-    rows = points.join(some, "doc_id").select("features", "subjects").collect()
+    rows = points.select("doc_id", "vec_ids", "vec").join(some, "doc_id").collect()
     names = sorted({s for r in rows for s in r.subjects})
     near = np.full((len(centres), len(names)), 1e-3)
     for r in rows:
-        d = centres[:, r.features.indices] @ r.features.values
+        d = centres[:, np.frombuffer(r.vec_ids, "<u2")] @ np.frombuffer(r.vec, "<f4").astype(float)
         w = np.where(d >= 0.5 * d.max(), d, 0) ** 4
         if w.sum() > 0:
             for s in r.subjects:
@@ -114,59 +255,65 @@ def term_weights(centres: np.ndarray, near: np.ndarray, idf: np.ndarray) -> np.n
     return np.where(w >= CLEAR * np.quantile(w, 0.999, axis=0, keepdims=True), w, 0) * idf[:, None]
 
 
+def shares(ids: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, int]:
+    """Share of each subject among the sentences that deal with one, and how many those are. weights: terms by subjects."""
+    total = np.zeros(weights.shape[1])
+    if not len(ends) or not weights.shape[1]:
+        return total, 0
+    score = np.add.reduceat(weights[ids], np.concatenate(([0], ends[:-1])), axis=0)
+    best = score.argmax(axis=1)
+    best = best[score[np.arange(len(best)), best] >= SPEAKS]
+    if len(best):
+        total += np.bincount(best, minlength=len(total)) / len(best)
+    return total, len(best)
+
+
+#: Share of the sentences that makes a subject one of the document's.
+LEAST_SHARE = 0.23
+
+
 class Model:
-    """Everything the scoring of a text needs; its size is fixed by ``TERMS`` and the number of subjects."""
+    """What the scoring of a document needs; its size is fixed by ``TERMS`` and the number of subjects."""
 
-    def __init__(self, vocabulary: list[str], names: list[str], weights: np.ndarray) -> None:
-        used = weights.max(axis=1) > 1e-4 if len(names) else np.zeros(len(vocabulary), bool)
-        self.names, self.weights = names, weights[used]
-        self.index = {t: i for i, t in enumerate(np.array(vocabulary, object)[used].tolist())}
+    def __init__(self, names: list[str], weights: np.ndarray) -> None:
+        self.names, self.weights = names, weights
 
-    def subjects(self, text: str, least: float) -> list[tuple[str, float]]:
-        share, n = shares(text, self.index, self.weights)
-        order = np.argsort(-share)
+    def subjects(self, ids: np.ndarray, ends: np.ndarray, least: float = LEAST_SHARE) -> list[tuple[str, float]]:
+        share, n = shares(ids, ends, self.weights)
+        order = np.argsort(-share, kind="stable")
         out = [(self.names[i], float(share[i])) for i in order[:3] if share[i] >= least]
         if not out and n:
             out = [(self.names[order[0]], float(share[order[0]]))]
         return out
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> tuple[Model | None, str | None]:
-    """The model and the most frequent subject of the labels."""
-    if documents.where("doc_id is not null and text is not null").isEmpty() or labels.isEmpty():
-        return None, None
+def fit(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str], Model]:
+    """The encoded documents, the vocabulary and the model."""
     points, vocabulary, idf = vectors(documents)
-    centres = leaves(points)
+    centres = leaves(points, len(vocabulary))
     names, near = leaf_subjects(points, labels, centres)
-    common = labels.where("subject is not null").groupBy("subject").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "subject").first()
-    return Model(vocabulary, names, term_weights(centres, near, idf)), common and common.subject
-
-
-#: Share of the sentences that makes a subject one of the document's.
-LEAST_SHARE = 0.23
+    return points, vocabulary, Model(names, term_weights(centres, near, idf) if len(names) and len(centres) else np.zeros((len(vocabulary), len(names))))
 
 
 def assigned(documents: DataFrame, labels: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, subject, share), one to three rows per document with text."""
-    model, common = fit(documents, labels)
-    spark = documents.sparkSession
-    if model is None:
-        return spark.createDataFrame([], "doc_id bigint, subject string, share double")
-    shared = spark.sparkContext.broadcast(model)  # fixed size: at most TERMS terms
+    points, _, model = fit(documents, labels)
+    common = labels.where("subject is not null").groupBy("subject").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "subject").first()
+    rest = [(common.subject, 0.0)] if common else []
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = m.subjects(text.as_py(), least) or ([(common, 0.0)] if common else [])
+            for i, ids, ends in zip(*(c.to_pylist() for c in batch.columns)):
+                found = m.subjects(np.frombuffer(ids, "<u2"), np.frombuffer(ends, "<u4").astype(np.int64), least) or rest
                 rows += [(i, s, x) for s, x in found]
             if rows:
                 a, b, c = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.float64())], names=["doc_id", "subject", "share"])
 
-    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
-    return docs.mapInArrow(run, "doc_id bigint, subject string, share double")
+    return points.select("doc_id", "ids", "ends").mapInArrow(run, "doc_id bigint, subject string, share double")
 
 
 def composition(subjects: DataFrame) -> DataFrame:

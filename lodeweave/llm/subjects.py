@@ -1,7 +1,7 @@
 """Subject areas of documents: bisecting k-means over normalised term vectors, leaves named by their discriminative terms, subjects by leaf mixture.
 
 Null texts give no subject; a document whose sentences hold no known term takes the most frequent
-subject of the labels; repeated doc_ids count once; extra columns are ignored; without documents or
+subject of the labels; repeated rows come out once (the clusters see them as often as they occur); extra columns are ignored; without documents or
 labels the result is empty.  Every statistic (term counts, inverse document frequencies, clusters)
 covers all documents.  Labelled documents name the leaves: at most ``LABELLED`` of them are read.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,72 +23,146 @@ from pyspark.sql import functions as F
 from ..session import written
 
 #: Terms of the vectors, leaves of the tree, labelled documents that may be read: all fixed, whatever the corpus's size.
-TERMS, LEAVES, LABELLED = 8192, 48, 20_000
+TERMS, LEAVES, LABELLED = 8192, 32, 20_000
 #: Passes over the documents per level of the tree.
-ROUNDS = 4
+ROUNDS = 2
 #: Terms in a larger share of the documents than this say nothing of their subject.
 MAX_SHARE = 0.3
 #: Terms whose weight for a subject is a smaller part of that of its best terms are too weak to tell anything.
 CLEAR = 0.3
 #: Weight that a sentence's terms must reach together for the sentence to deal with a subject.
 SPEAKS = 1.0
-_TOKEN = re.compile(r"\w+")
-_WORD = re.compile(r"[a-zà-öø-ÿœß]{3,}")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-
-
-def words(text: str) -> list[str]:
-    """Words of at least three letters; names of registers and numbers aren't words."""
-    return [x for x in _TOKEN.findall(text) if _WORD.fullmatch(x)]
+#: Words of at least three letters, not part of register names and numbers; ends of sentences.
+_TOKENS = re.compile(r"(?<!\w)[a-zà-öø-ÿœß]{3,}(?!\w)|[.!?](?=\s)|\n")
+_ENDS = frozenset(".!?\n")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n): in how many documents each word and each pair of neighbours occurs; tasks add up before the shuffle."""
+    """(term, n): in how many documents each word and each pair of neighbours occurs; tasks add up before the shuffle.
+
+    A task numbers the words it meets; pairs are counted as numbers and spelt out once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
+        known: dict[str, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            codes, inverse = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            return codes, np.bincount(inverse, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+            codes, counts = merged()
+            names = np.array(list(known), object)
+            first, second = names[codes >> 24], (codes & 0xFFFFFF) - 1
+            spelt = [a if k < 0 else f"{a} {names[k]}" for a, k in zip(first, second)]
+            return pa.RecordBatch.from_arrays([pa.array(spelt, pa.string()), pa.array(counts, pa.int64())], names=["term", "n"])
 
         for batch in batches:
+            numbers: list[int] = []
+            lengths: list[int] = []
+            number = known.setdefault
             for text in batch.column(0):
-                w = words(text.as_py().lower())
-                for t in {*w, *map(" ".join, zip(w, w[1:]))}:
-                    held[t] = held.get(t, 0) + 1
-                if len(held) > 300_000:
+                w = [t for t in _TOKENS.findall(text.as_py().lower()) if t not in _ENDS]
+                numbers += [number(t, len(known)) for t in w]
+                lengths.append(len(w))
+            if not numbers:
+                continue
+            x = np.array(numbers, np.int64)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            pair = (x[:-1] << 24) | (x[1:] + 1)
+            pair = pair[owner[:-1] == owner[1:]]
+            codes = np.concatenate([x << 24, pair])
+            owners = np.concatenate([owner, owner[:-1][owner[:-1] == owner[1:]]])
+            order = np.lexsort((codes, owners))
+            codes, owners = codes[order], owners[order]
+            new = np.concatenate(([True], (np.diff(codes) != 0) | (np.diff(owners) != 0)))
+            c, n = np.unique(codes[new], return_counts=True)
+            held.append((c, n))
+            size += len(c)
+            if size > 3_000_000:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > 1_500_000 or len(known) > 8_000_000:
                     yield out()
-                    held.clear()
+                    held, size = [], 0
+                    known.clear()
         if held:
             yield out()
 
     return docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+class Vocabulary:
+    """Terms by number, set up for looking up whole batches of words."""
+
+    def __init__(self, terms: list[str], idf: np.ndarray) -> None:
+        self.idf = idf
+        names = sorted({w for t in terms for w in t.split(" ")})
+        self.words = {w: i + 1 for i, w in enumerate(names)} | dict.fromkeys(_ENDS, 0)
+        self.single = np.full(len(names) + 1, -1, np.int64)
+        pairs = []
+        for k, t in enumerate(terms):
+            a, _, b = t.partition(" ")
+            if b:
+                pairs.append((self.words[a] * (len(names) + 1) + self.words[b], k))
+            else:
+                self.single[self.words[a]] = k
+        pairs.sort()
+        self.codes = np.array([c for c, _ in pairs] or [-1], np.int64)
+        self.numbers = np.array([k for _, k in pairs] or [-1], np.int64)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, bytes, bytes]]:
+        """Per text: term numbers sentence by sentence, ends of the sentences, terms and weights of the unit tf-idf vector."""
+        tokens: list[str] = []
+        lengths = []
+        for t in texts:
+            found = _TOKENS.findall(t.lower())
+            tokens += found
+            lengths.append(len(found))
+        x = np.fromiter(map(self.words.get, tokens, repeat(-1)), np.int64, len(tokens))
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        doc_ends = np.cumsum(lengths)
+        stop = x == 0
+        stop[doc_ends[np.array(lengths) > 0] - 1] = True
+        sentence = np.cumsum(stop) - stop
+        known = np.flatnonzero(x > 0)
+        single = known[self.single[x[known]] >= 0]
+        left = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0) & (sentence[:-1] == sentence[1:])) if len(x) > 1 else np.zeros(0, np.int64)
+        code = x[left] * len(self.single) + x[left + 1]
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = self.codes[at] == code
+        terms = np.concatenate([self.single[x[single]], self.numbers[at[hit]]])
+        places = np.concatenate([single, left[hit]])
+        order = np.argsort(sentence[places], kind="stable")
+        terms, places = terms[order], places[order]
+        docs, sents = owner[places], sentence[places]
+        cut = np.searchsorted(docs, np.arange(len(texts) + 1))
+        last = np.concatenate((np.diff(sents) != 0, [True])) if len(sents) else np.zeros(0, bool)
+        where = np.flatnonzero(last) + 1
+        bounds = np.searchsorted(where, cut, side="right")
+        keys, tf = np.unique(docs * TERMS + terms, return_counts=True)
+        vec_docs, vec_terms = keys // TERMS, keys % TERMS
+        v = tf * self.idf[vec_terms] if len(keys) else np.zeros(0)
+        norm = np.sqrt(np.bincount(vec_docs, weights=v * v, minlength=len(texts)))
+        v = (v / np.maximum(norm[vec_docs], 1e-12)).astype("<f2")
+        vec_cut = np.searchsorted(vec_docs, np.arange(len(texts) + 1))
+        terms, vec_terms, where = terms.astype("<u2"), vec_terms.astype("<u2"), where.astype(np.int64)
+        for k in range(len(texts)):
+            a, b, c, d = cut[k], cut[k + 1], vec_cut[k], vec_cut[k + 1]
+            yield terms[a:b].tobytes(), (where[bounds[k] : bounds[k + 1]] - a).astype("<u4").tobytes(), vec_terms[c:d].tobytes(), v[c:d].tobytes()
+
+
 def encoded(docs: DataFrame, vocabulary: list[str], idf: np.ndarray) -> DataFrame:
-    """(doc_id, ids, ends, vec_ids, vec): term numbers of the sentences one after the other, where each sentence ends, and the unit tf-idf vector."""
-    shared = docs.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(vocabulary)}, idf))  # at most TERMS terms
+    """(doc_id, ids, ends, vec_ids, vec): see ``Vocabulary.encode``."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary, idf))  # at most TERMS terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, weight = shared.value
-        names = ["doc_id", "ids", "ends", "vec_ids", "vec"]
         for batch in batches:
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids: list[int] = []
-                ends: list[int] = []
-                for s in _SENTENCE.split(text.as_py().lower()):
-                    w = words(s)
-                    ids += [index[x] for x in w if x in index]
-                    ids += [index[p] for p in map(" ".join, zip(w, w[1:])) if p in index]
-                    if ids and (not ends or ends[-1] < len(ids)):
-                        ends.append(len(ids))
-                terms, tf = np.unique(np.array(ids, np.uint16), return_counts=True)
-                v = (tf * weight[terms]).astype("<f4")
-                v /= max(float(np.linalg.norm(v)), 1e-12)
-                rows.append((i, np.array(ids, "<u2").tobytes(), np.array(ends, "<u4").tobytes(), terms.astype("<u2").tobytes(), v.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), *[pa.binary()] * 4])], names=names)
+            if batch.num_rows:
+                cols = list(zip(*shared.value.encode(batch.column(1).to_pylist())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=["doc_id", "ids", "ends", "vec_ids", "vec"])
 
     return docs.mapInArrow(run, "doc_id bigint, ids binary, ends binary, vec_ids binary, vec binary")
 
@@ -100,7 +175,7 @@ def vectors(documents: DataFrame) -> tuple[DataFrame, list[str], np.ndarray]:
     rows = known.orderBy(F.desc("n"), "term").limit(TERMS).collect()  # the vocabulary's size is fixed
     vocabulary = [r.term for r in rows]
     idf = np.log((total + 1) / (np.array([r.n for r in rows], float) + 1))
-    return written(encoded(docs, vocabulary, idf).dropDuplicates(["doc_id"]), "encoded"), vocabulary, idf
+    return written(encoded(docs, vocabulary, idf), "encoded"), vocabulary, idf
 
 
 class Tree:
@@ -131,7 +206,7 @@ class Tree:
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b = batch.column("vec_ids").to_pylist(), batch.column("vec").to_pylist()
     ends = np.cumsum([len(x) // 2 for x in a])
-    return np.frombuffer(b"".join(a), "<u2").astype(np.int64), np.frombuffer(b"".join(b), "<f4").astype(np.float64), ends
+    return np.frombuffer(b"".join(a), "<u2").astype(np.int64), np.frombuffer(b"".join(b), "<f2").astype(np.float64), ends
 
 
 def _sums(points: DataFrame, tree: Tree, terms: int) -> dict[int, tuple[int, np.ndarray]]:
@@ -236,7 +311,7 @@ def leaf_subjects(points: DataFrame, labels: DataFrame, centres: np.ndarray) ->
     names = sorted({s for r in rows for s in r.subjects})
     near = np.full((len(centres), len(names)), 1e-3)
     for r in rows:
-        d = centres[:, np.frombuffer(r.vec_ids, "<u2")] @ np.frombuffer(r.vec, "<f4").astype(float)
+        d = centres[:, np.frombuffer(r.vec_ids, "<u2")] @ np.frombuffer(r.vec, "<f2").astype(float)
         w = np.where(d >= 0.5 * d.max(), d, 0) ** 4
         if w.sum() > 0:
             for s in r.subjects:
@@ -313,7 +388,7 @@ def assigned(documents: DataFrame, labels: DataFrame, least: float = LEAST_SHARE
                 a, b, c = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.float64())], names=["doc_id", "subject", "share"])
 
-    return points.select("doc_id", "ids", "ends").mapInArrow(run, "doc_id bigint, subject string, share double")
+    return points.select("doc_id", "ids", "ends").mapInArrow(run, "doc_id bigint, subject string, share double").dropDuplicates(["doc_id", "subject"])
 
 
 def composition(subjects: DataFrame) -> DataFrame:

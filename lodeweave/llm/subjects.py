@@ -37,6 +37,13 @@ _TOKENS = re.compile(r"(?<!\w)[a-zà-öø-ÿœß]{3,}(?!\w)|[.!?](?=\s)|\n")
 _ENDS = frozenset(".!?\n")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``: bounds what a batch's words take, and the bits of a row number."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """(term, n): in how many documents each word and each pair of neighbours occurs; tasks add up before the shuffle.
 
@@ -59,7 +66,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
             spelt = [a if k < 0 else f"{a} {names[k]}" for a, k in zip(first, second)]
             return pa.RecordBatch.from_arrays([pa.array(spelt, pa.string()), pa.array(counts, pa.int64())], names=["term", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             numbers: list[int] = []
             lengths: list[int] = []
             number = known.setdefault
@@ -75,10 +82,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
             pair = pair[owner[:-1] == owner[1:]]
             codes = np.concatenate([x << 24, pair])
             owners = np.concatenate([owner, owner[:-1][owner[:-1] == owner[1:]]])
-            order = np.lexsort((codes, owners))
-            codes, owners = codes[order], owners[order]
-            new = np.concatenate(([True], (np.diff(codes) != 0) | (np.diff(owners) != 0)))
-            c, n = np.unique(codes[new], return_counts=True)
+            each = np.unique((owners << 48) | codes)  # once per document
+            c, n = np.unique(each & 0xFFFFFFFFFFFF, return_counts=True)
             held.append((c, n))
             size += len(c)
             if size > 3_000_000:
@@ -159,7 +164,7 @@ def encoded(docs: DataFrame, vocabulary: list[str], idf: np.ndarray) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary, idf))  # at most TERMS terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 cols = list(zip(*shared.value.encode(batch.column(1).to_pylist())))
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=["doc_id", "ids", "ends", "vec_ids", "vec"])

@@ -208,3 +208,15 @@ def node_lines(edges: DataFrame) -> DataFrame:
     out = edges.groupBy(F.col("src").alias("node")).agg(lines(F.concat_ws(" ", "relation", label(F.col("dst")))).alias("outs"))
     into = edges.groupBy(F.col("dst").alias("node")).agg(lines(F.concat_ws(" ", label(F.col("src")), "relation")).alias("ins"))
     return out.join(into, "node", "full").select("node", F.coalesce("outs", F.lit("")).alias("outs"), F.coalesce("ins", F.lit("")).alias("ins"))
+
+
+def enclosing_functions(edges: DataFrame, functions: DataFrame, reach: int = 800) -> DataFrame:
+    """(id, function): of each edge with a path and a line the last function that begins at or above the line, at most ``reach`` lines.
+
+    An as-of join over (path, block of ``reach`` lines): a line looks into its own block and the one before.
+    """
+    e = edges.where("path is not null and line_start is not null").select("id", "path", "line_start")
+    probe = e.withColumn("_b", F.explode(F.array(F.floor(F.col("line_start") / reach), F.floor(F.col("line_start") / reach) - 1)))
+    f = functions.where("path is not null and line_start is not null and name is not null").select("path", F.col("line_start").alias("_at"), F.col("name").alias("function")).distinct()
+    hit = probe.join(f.withColumn("_b", F.floor(F.col("_at") / reach)), ["path", "_b"]).where((F.col("_at") <= F.col("line_start")) & (F.col("_at") >= F.col("line_start") - reach))
+    return hit.groupBy("id").agg(F.max_by("function", F.struct("_at", "function")).alias("function"))

@@ -139,3 +139,27 @@ def reciprocal_rank(results: DataFrame, cases: DataFrame) -> DataFrame:
     """Mean reciprocal rank over the cases that hit: results (case_id, rank, key), cases (case_id, key)."""
     first = results.join(cases, ["case_id", "key"]).groupBy("case_id").agg(F.min("rank").alias("rank"))
     return first.agg(F.count("*").alias("hits"), F.round(F.avg(1 / F.col("rank")), 4).alias("mrr"))
+
+
+def candidate_cascade(evidence: DataFrame, matched: DataFrame, tokens: list[str], cap: int) -> DataFrame:
+    """Evidence to score, by stages until ``cap`` rows are there: of matched chunks, of symbols that a token names, of rows a token occurs in.
+
+    The last stage is left out where all tokens look like symbols. The stages are counted up to the
+    cap only; the cap is the operator's feature.
+    """
+    key = ["chunk_id", "symbol"]
+    order = [F.desc("confidence"), F.col("chunk_id"), F.col("symbol")]
+    exact = [t for t in tokens if "_" in t or re.search(r"\d", t)]
+    first = evidence.join(matched.withColumnRenamed("id", "chunk_id"), "chunk_id", "left_semi").orderBy(*order).limit(cap)
+    names = list(dict.fromkeys(x for t in tokens[:8] for x in (t, t.upper(), *(p + t.upper() for p in ("reg", "mm", "smn") if t in exact))))
+    stages = [evidence.where(F.col("symbol").isin(names))]
+    if len(exact) < len(tokens):
+        hay = [F.lower(c) for c in ("symbol", "path")]
+        stages.append(evidence.where(any_of([h.like(f"%{t}%") for h in hay for t in tokens[:8]])))
+    out = first
+    for stage in stages:
+        held = out.count()
+        if held >= cap:
+            break
+        out = out.unionByName(stage.join(out.select(key), key, "left_anti").orderBy(*order).limit(cap - held).select(out.columns))
+    return out

@@ -692,4 +692,22 @@ def _(t):
     return R.reciprocal_rank(ranked, ranked.where("key like '%STATUS%'").select("case_id", "key").distinct())
 
 
+@query("grf_11_enclosing_functions", f"""WITH {_EDGES}, f AS (SELECT DISTINCT path, line_start first_line, name FROM function_locations WHERE path IS NOT NULL AND line_start IS NOT NULL AND name IS NOT NULL)
+SELECT e.id, arg_max(f.name, (f.first_line, f.name)) AS function FROM e JOIN f ON f.path = e.path AND f.first_line <= e.line_start AND f.first_line >= e.line_start - 800 GROUP BY 1""")
+def _(t):
+    return G.enclosing_functions(G.clean_edges(t("edges")), t("function_locations"))
+
+
+@query("jon_08_corpus_chunks", "SELECT corpus_id, count(DISTINCT c.id) AS chunks FROM chunks c JOIN (SELECT DISTINCT id, corpus_id FROM source_documents) d ON d.id = c.document_id GROUP BY 1")
+def _(t):
+    d = t("source_documents").select(F.col("id").alias("document_id"), "corpus_id").distinct()
+    return t("chunks").join(d, "document_id").groupBy("corpus_id").agg(F.countDistinct("id").alias("chunks"))
+
+
+@query("ret_06_candidate_cascade")
+def _(t):
+    e = written(E.evidence(t("chunks"), t("source_documents"), False), "evidence")
+    return R.candidate_cascade(e, R.phrase_match(t("chunks"), _TOKENS), _TOKENS, 5760)
+
+
 FLAGSHIP = "ret_15_query_evidence"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -35,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); where none is named, as in local tests, a temporary one is set."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="lodeweave-")
+        folder = tempfile.mkdtemp(prefix="lodeweave-")
+        atexit.register(shutil.rmtree, folder, True)
+        d = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", d)
     return d
 
@@ -43,11 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, what: str = "cut") -> DataFrame:
     """Cuts the lineage: writes to the shared folder and reads back; the copy outlives any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; results that were not yet computed are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _STREAM = re.compile(rb"<<((?:[^<>]|<<[^<>]*>>|<[0-9A-Fa-f\s]*>)*)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
-_SHOWN = re.compile(rb"\(((?:\\.|[^\\()])*)\)\s*(?:Tj|'|\")|\[((?:\((?:\\.|[^\\()])*\)|[^\]()])*)\]\s*TJ|(T\*|Td|TD|ET)\b", re.S)
+_SHOWN = re.compile(rb"\(((?:\\.|[^\\()])*)\)\s*(?:Tj|'|\")|\[((?:\((?:\\.|[^\\()])*\)|[^\]()])*)\]\s*TJ|(T\*|(?:Td|TD|ET)\b)", re.S)
 _PART = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 

@@ -108,8 +108,8 @@ def repository(col: Column) -> Column:
 
 
 def heading(text: Column) -> Column:
-    """First markdown heading, with or without the stored line prefix; empty if none."""
-    return F.trim(F.regexp_extract(text, r"(?m)^(?:\d+: )?#{1,6}[ \t]+(.+)$", 1))
+    """First markdown heading, with or without the stored line prefix; empty if none. Line ends may be LF, CRLF or CR."""
+    return F.trim(F.regexp_extract(F.regexp_replace(text, r"\r\n?", "\n"), r"(?m)^(?:\d+: )?#{1,6}[ \t]+(.+)$", 1))
 
 
 def section_id(path: Column, text: Column, page: Column, line: Column) -> Column:

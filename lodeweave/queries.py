@@ -199,7 +199,7 @@ def _(t):
 
 @query("scl_09_headings", "SELECT DISTINCT id, trim(regexp_extract(text, '(?m)^(\\d+: )?#{1,6}[ \\t]+(.+)$', 2)) AS heading FROM chunks WHERE text IS NOT NULL AND NOT contains(text, chr(13))")
 def _(t):
-    return t("chunks").where(F.col("text").isNotNull() & ~F.col("text").contains("\r")).select("id", V.heading(F.col("text")).alias("heading")).distinct()
+    return t("chunks").where("text is not null").select("id", V.heading(F.col("text")).alias("heading")).distinct()
 
 
 @query("scl_15_cosine", "WITH a AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings), q AS (SELECT v FROM a WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(a.v, q.v), 5) AS score FROM a, q")
@@ -526,7 +526,7 @@ SELECT id, path || '#' || CASE WHEN slug <> '' THEN slug WHEN page > 0 THEN 'pag
 )
 def _(t):
     d = t("source_documents").groupBy(F.col("id").alias("document_id")).agg(F.max("path").alias("path"))
-    c = t("chunks").where(F.col("id").isNotNull() & F.col("text").isNotNull() & ~F.col("text").contains("\r")).dropDuplicates(["id"]).select("id", "document_id", "text", "page", "line_start")
+    c = t("chunks").where(F.col("id").isNotNull() & F.col("text").isNotNull()).dropDuplicates(["id"]).select("id", "document_id", "text", "page", "line_start")
     return c.join(d, "document_id").select("id", V.section_id(F.col("path"), F.col("text"), F.col("page"), F.col("line_start")).alias("section"))
 
 

@@ -45,7 +45,19 @@ def chunk_rows(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 def chunk_symbols(rows: DataFrame) -> DataFrame:
     """(chunk row, symbol): distinct symbols of each chunk; register headers have rules of their own."""
     each = rows.withColumn("symbol", F.explode(F.array_distinct(identifiers(F.col("text")))))
-    return each.where(F.when(F.col("source_type") == "register", S.is_header_symbol(F.col("symbol"))).otherwise(S.is_symbol(F.col("symbol"))))
+    return each.where(_counts())
+
+
+def _counts() -> Column:
+    return F.when(F.col("source_type") == "register", S.is_header_symbol(F.col("symbol"))).otherwise(S.is_symbol(F.col("symbol")))
+
+
+def document_anchor() -> Column:
+    """`name.pdf#page=N` or the file name, for a non-blank doc or pdf chunk without any symbol; null for other chunks."""
+    name = F.element_at(F.split("path", "/"), -1)
+    page = F.when(F.col("page") != 0, F.col("page")).otherwise(1).cast("string")
+    bare = F.col("source_type").isin("doc", "pdf") & F.col("text").rlike(r"\S") & ~F.exists(identifiers(F.col("text")), S.is_symbol)
+    return F.when(bare, F.when(F.col("source_type") == "pdf", F.concat(name, F.lit("#page="), page)).otherwise(name))
 
 
 def _arguments(prefix: str) -> Column:
@@ -54,16 +66,17 @@ def _arguments(prefix: str) -> Column:
 
 
 def evidence(chunks: DataFrame, documents: DataFrame, with_snippet: bool = True) -> DataFrame:
-    """Evidence rows, one per chunk and symbol.
+    """Evidence rows, one per chunk and symbol; a doc or pdf chunk without symbols has one row for its anchor.
 
     The call arguments and words of a chunk are extracted once, before the symbols are exploded, so
     no pattern is built per symbol.
     """
-    rows = chunk_rows(chunks, documents).withColumns({"_w": _arguments("WREG"), "_r": _arguments("RREG"), "_words": F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), 1)), "_set": F.col("text").contains("REG_SET_FIELD")})
-    each = chunk_symbols(rows)
-    sym = F.col("symbol")
+    rows = chunk_rows(chunks, documents).withColumns({"_w": _arguments("WREG"), "_r": _arguments("RREG"), "_words": F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), 1)), "_set": F.col("text").contains("REG_SET_FIELD"), "_anchor": document_anchor()})
+    sym, anchor = F.col("symbol"), F.col("_anchor").isNotNull()
+    each = rows.withColumn("symbol", F.explode(F.when(anchor, F.array("_anchor")).otherwise(F.array_distinct(identifiers(F.col("text")))))).where(anchor | _counts())
     access = (
-        F.when(F.col("_set"), F.when(S.entity_type(sym) == "field", "field_set").otherwise("read_modify_write"))
+        F.when(anchor, "mention")
+        .when(F.col("_set"), F.when(S.entity_type(sym) == "field", "field_set").otherwise("read_modify_write"))
         .when(F.exists("_w", lambda a: a.contains(sym)), "write")
         .when(F.exists("_r", lambda a: a.contains(sym)), "read")
         .otherwise("mention")
@@ -72,11 +85,13 @@ def evidence(chunks: DataFrame, documents: DataFrame, with_snippet: bool = True)
     first = F.element_at(F.split(sym, "->"), 1)
     last = F.element_at(F.split(sym, "->"), -1)
     whole = F.array_contains("_words", first) & F.array_contains("_words", last)
-    out = each.withColumn("entity_type", F.when(F.col("source_type") == "register", header).otherwise(S.entity_type(sym))).withColumn("access_type", access)
-    out = out.withColumn("confidence", F.when(whole, 0.95).otherwise(0.75)).withColumn("ip_block", V.ip_block(sym, F.col("path")))
+    part = F.when(S.is_symbol(sym), S.entity_type(sym)).when(F.col("source_type") == "pdf", "pdf_page").otherwise("doc_section")
+    named = F.when(anchor, F.regexp_like("text", F.concat(F.lit(r"\b\Q"), "_anchor", F.lit(r"\E\b")))).otherwise(whole)
+    out = each.withColumn("entity_type", F.when(anchor, part).when(F.col("source_type") == "register", header).otherwise(S.entity_type(sym))).withColumn("access_type", access)
+    out = out.withColumn("confidence", F.when(named, 0.95).otherwise(0.75)).withColumn("ip_block", V.ip_block(sym, F.col("path")))
     cols = [F.col("id").alias("chunk_id"), "document_id", "corpus_id", "repo", "path", "source_type", "page", "line_start", "symbol", "entity_type", "access_type", "confidence", "ip_block"]
     if with_snippet:
-        cols += [S.snippet(F.col("text"), sym).alias("snippet"), S.resolved_chain(F.col("text"), sym, F.col("access_type")).alias("resolved_chain")]
+        cols += [S.snippet(F.col("text"), sym).alias("snippet"), F.when(anchor, F.concat("source_type", F.lit(" chunk -> "), sym)).otherwise(S.resolved_chain(F.col("text"), sym, F.col("access_type"))).alias("resolved_chain")]
     return out.select(*cols)
 
 

@@ -20,3 +20,39 @@ def test_heading_ends_before_a_carriage_return(spark):
     texts = ["1: x\r\n2: ## A title\r\n3: y\r", "# B\r", "x\r# C\rz", "x\r\ny"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     assert [r.h for r in df.orderBy("i").select(V.heading(F.col("text")).alias("h")).collect()] == ["A title", "B", "C", ""]
+
+
+CHUNK = "id bigint, document_id bigint, text string, line_start int, page int"
+DOCUMENT = "id bigint, path string, repo string, corpus_id string, indexed_at timestamp"
+
+
+def evidence_of(spark, texts):
+    """Evidence of (path, text, page), each a document of one chunk; ids from 1."""
+    from datetime import datetime
+
+    from lodeweave.operators import evidence as E
+
+    chunks = spark.createDataFrame([(i, i, t, 1, page) for i, (_, t, page) in enumerate(texts, 1)], CHUNK)
+    docs = spark.createDataFrame([(i, p, "r", "c", datetime(2024, 1, 1)) for i, (p, _, _) in enumerate(texts, 1)], DOCUMENT)
+    return E.evidence(chunks, docs)
+
+
+def test_documents_without_symbols_have_an_anchor(spark):
+    texts = [("a/plain.md", "1: Only words,\n2: as plain.md says.", None), ("b/my_book.pdf", "words", 3), ("b/x.pdf", "words", None), ("b/y.rst", " \n", None), ("c/z.c", "int words;", None), ("a/w.md", "has a_symbol", None), ("a/RING_STATUS.txt", "words", None)]
+    got = {(r.chunk_id, r.symbol): (r.entity_type, r.access_type, r.confidence, r.snippet, r.resolved_chain) for r in evidence_of(spark, texts).collect()}
+    assert got.pop((6, "a_symbol"))[1] == "mention"
+    assert got == {
+        (1, "plain.md"): ("doc_section", "mention", 0.95, texts[0][1], "doc chunk -> plain.md"),
+        (2, "my_book.pdf#page=3"): ("function", "mention", 0.75, "words", "pdf chunk -> my_book.pdf#page=3"),
+        (3, "x.pdf#page=1"): ("pdf_page", "mention", 0.75, "words", "pdf chunk -> x.pdf#page=1"),
+        (7, "RING_STATUS.txt"): ("register", "mention", 0.75, "words", "doc chunk -> RING_STATUS.txt"),
+    }
+
+
+def test_evidence_is_that_of_the_sql_and_one_anchor_for_each_chunk_without(spark, small):
+    con = connect(small)
+    ours, theirs = rows(queries.QUERIES["ext_04_evidence"](spark, small).toPandas()), rows(con.execute(queries.ORACLE["ext_04_evidence"]).df())
+    bare = f"WITH {queries._CHUNKS} SELECT id FROM r WHERE source_type IN ('doc', 'pdf') AND regexp_matches(text, '\\S') AND id NOT IN (SELECT id FROM s)"
+    more = set(ours) - set(theirs)
+    assert not set(theirs) - set(ours) and len(ours) == len(set(ours))
+    assert sorted(r[1] for r in more) == sorted(str(i) for (i,) in con.execute(bare).fetchall()) != []

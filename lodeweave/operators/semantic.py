@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 
 
-def candidates(evidence: DataFrame, most_terms: int = 24, snippet: int = 500) -> DataFrame:
-    """(chunk_id, path, terms, snippet): chunks with at least two terms; terms in order of confidence, at most ``most_terms`` as the feature asks."""
-    g = evidence.groupBy("chunk_id", "path").agg(F.array_sort(F.collect_set(F.struct((-F.col("confidence")).alias("c"), "symbol"))).alias("_t"), F.min(F.substring("snippet", 1, snippet)).alias("snippet"))
-    return g.where(F.size("_t") > 1).select("chunk_id", "path", F.slice(F.transform("_t", lambda x: x["symbol"]), 1, most_terms).alias("terms"), "snippet")
+def candidates(evidence: DataFrame, snippet: int = 500) -> DataFrame:
+    """(chunk_id, path, terms, snippets): every chunk with a term; all terms and the distinct snippets, each cut to ``snippet`` characters, in order of confidence."""
+    g = evidence.groupBy("chunk_id", "path").agg(F.array_sort(F.collect_set(F.struct((-F.col("confidence")).alias("c"), "symbol", F.substring(F.trim("snippet"), 1, snippet).alias("snippet")))).alias("_t"))
+    terms, snippets = F.array_distinct(F.transform("_t", lambda x: x["symbol"])), F.array_distinct(F.transform("_t", lambda x: x["snippet"]))
+    return g.select("chunk_id", "path", terms.alias("terms"), F.filter(snippets, lambda x: x != "").alias("snippets"))
 
 
 def persistable(generated: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -56,3 +56,14 @@ def test_evidence_is_that_of_the_sql_and_one_anchor_for_each_chunk_without(spark
     more = set(ours) - set(theirs)
     assert not set(theirs) - set(ours) and len(ours) == len(set(ours))
     assert sorted(r[1] for r in more) == sorted(str(i) for (i,) in con.execute(bare).fetchall()) != []
+
+
+def test_candidates_keep_single_terms_all_terms_and_all_snippets(spark):
+    from lodeweave.operators import semantic
+
+    many = "\n".join(f"reg_{i:02}" + "x" * 600 for i in range(30))
+    got = {r.chunk_id: r for r in semantic.candidates(evidence_of(spark, [("a.c", "only_one here", None), ("b.c", many, None), ("c.c", "none", None)])).collect()}
+    assert set(got) == {1, 2} and (got[1].terms, got[1].snippets) == (["only_one"], ["only_one here"])
+    terms = many.split("\n")
+    assert got[2].terms == terms
+    assert got[2].snippets == [t[:500] for t in terms[:1] * 3 + terms[1:-2]][2:]

@@ -7,7 +7,6 @@ columns are ignored, empty tables give empty results.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import symbols as S
@@ -95,12 +94,13 @@ def evidence(chunks: DataFrame, documents: DataFrame, with_snippet: bool = True)
     return out.select(*cols)
 
 
-def cooccurrence(rows: DataFrame, most: int = 6) -> DataFrame:
-    """(src, dst, chunks, confidence): pairs among the ``most`` best symbols of each chunk; the bound is the operator's feature."""
-    order = W.partitionBy("chunk_id").orderBy(F.desc("confidence"), "symbol")
-    best = rows.select("chunk_id", "symbol", "confidence").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
-    packed = best.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("symbol", "confidence"))).alias("_s"))
-    pairs = packed.select(F.posexplode("_s").alias("_i", "a"), "_s").select("a", F.explode(F.slice("_s", F.col("_i") + 2, F.lit(most))).alias("b"))
+def cooccurrence(rows: DataFrame) -> DataFrame:
+    """(src, dst, chunks, confidence): all pairs of the symbols of each chunk, as in the reference's storage without its optional limit.
+
+    The workbench's limits file sets cooccurrenceSymbolLimit to 8 for its display; no limit is taken here.
+    """
+    packed = rows.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("symbol", "confidence"))).alias("_s"))
+    pairs = packed.select(F.posexplode("_s").alias("_i", "a"), "_s").select("a", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("b"))
     return pairs.groupBy(F.col("a.symbol").alias("src"), F.col("b.symbol").alias("dst")).agg(F.count("*").alias("chunks"), F.round(F.avg((F.col("a.confidence") + F.col("b.confidence")) / 2), 4).alias("confidence"))
 
 

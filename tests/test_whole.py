@@ -67,3 +67,13 @@ def test_candidates_keep_single_terms_all_terms_and_all_snippets(spark):
     terms = many.split("\n")
     assert got[2].terms == terms
     assert got[2].snippets == [t[:500] for t in terms[:1] * 3 + terms[1:-2]][2:]
+
+
+def test_cooccurrence_has_all_pairs_of_a_chunk(spark):
+    from itertools import combinations
+
+    from lodeweave.operators import evidence as E
+
+    names = [f"s_{i:02}" for i in range(12)]
+    got = {(r.src, r.dst): (r.chunks, r.confidence) for r in E.cooccurrence(evidence_of(spark, [("a.c", " ".join(names), None), ("b.c", "s_00 s_11", None)])).collect()}
+    assert got == {p: (2 if p == ("s_00", "s_11") else 1, 0.95) for p in combinations(names, 2)}

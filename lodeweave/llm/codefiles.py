@@ -144,15 +144,18 @@ def parse_files(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return sorted_pieces(chunks, documents).mapInArrow(run, FILES)
 
 
-def file_functions(chunks: DataFrame, documents: DataFrame, with_code: bool = True) -> DataFrame:
-    """Functions and methods with a body in the valid C, C++ and Python files, with their own description (null if trivial)."""
+def file_functions(chunks: DataFrame, documents: DataFrame, with_code: bool = True, hierarchy: bool = False) -> DataFrame:
+    """Functions and methods with a body in the valid C, C++ and Python files, with their own description (null if trivial).
+
+    With ``hierarchy`` also classes and documented declarations, see functions_of.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for f, error in _scan(batches, True):
                 if confirmed(f, error) is None and f.lines:
                     lang = language(f.path)
-                    for x in functions_of(f.lines, lang):
+                    for x in functions_of(f.lines, lang, hierarchy):
                         yield (f.document_id, f.path, lang, *x[:-1], x[-1] if with_code else None)
 
         yield from _batches(rows(), _FUNCTIONS_SCHEMA)

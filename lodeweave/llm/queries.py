@@ -18,7 +18,7 @@ def _with(fn):
 
 
 def _pairs(t) -> DataFrame:
-    functions = codefiles.file_functions(t("chunks"), t("source_documents"))
+    functions = codefiles.file_functions(t("chunks"), t("source_documents"), hierarchy=True)
     repos = t("source_documents").where("id is not null").groupBy(F.col("id").alias("document_id")).agg(codefiles.repository(F.max("repo")).alias("repo"))
     pairs = docpairs.inherit_documentation(functions.join(repos, "document_id"))
     return pairs.select("document_id", "repo", "path", "language", "name", "line_start", "line_end", "class_name", "description", "code", "doc_origin")

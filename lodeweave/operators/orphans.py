@@ -159,6 +159,11 @@ def monthly(spark, sf_dir: str) -> DataFrame:
     return orphans.distinct().groupBy("ref_table", "ref_field", F.date_format("at", "yyyy-MM").alias("month")).agg(F.countDistinct("row_id").alias("orphans"))
 
 
-def snapshot(spark, sf_dir: str) -> DataFrame:
-    _, state = run_periods(spark, sf_dir)
-    return state.snapshot()
+def snapshot(spark, sf_dir: str, bounds: Iterable[str | None] = BOUNDS) -> DataFrame:
+    """The counts at the end of each period, with the period's upper bound (null for the last, open one)."""
+    state, out, bounds = OrphanState(), None, list(bounds)
+    for (refs, births, deaths), bound in zip(periods(spark, sf_dir, bounds), bounds[1:]):
+        state.advance(refs, births, deaths)
+        now = state.snapshot().withColumn("period_end", F.lit(bound).cast("timestamp_ntz"))
+        out = now if out is None else out.unionByName(now)
+    return out

@@ -8,7 +8,6 @@ file, where functions are wanted).
 
 from __future__ import annotations
 
-import ast
 import re
 from collections.abc import Iterator
 
@@ -64,19 +63,7 @@ class _File:
         if self.path is None:
             self.path = path
             self.parser = parser(language(path))
-            # a Python file is kept for the interpreter's own parser
-            self.lines = [] if language(path) == "python" or keep and language(path) != "json" else None
-
-
-def confirmed(file: _File, error: tuple[int, str] | None) -> tuple[int, str] | None:
-    """The grammar's verdict; a Python file that it rejects is put to the interpreter's parser as well."""
-    if error is not None and language(file.path) == "python":
-        try:
-            ast.parse("\n".join(file.lines))
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return error
-        return None
-    return error
+            self.lines = [] if keep and language(path) != "json" else None
 
 
 def _scan(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[tuple[_File, tuple[int, str] | None]]:
@@ -128,15 +115,13 @@ _FUNCTIONS_SCHEMA = pa.schema(
 def parse_files(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """One row per source file: whether it is valid in the language of its extension, and its first unrecoverable error.
 
-    Each file's whole token stream runs through the table-driven recogniser of its grammar.  A
-    Python file that the grammar rejects is put to the interpreter's own parser as well, and
-    counts as valid if that takes it.  Empty files follow the grammar: valid but for JSON.
+    Each file's whole token stream runs through the table-driven recogniser of its grammar.
+    Empty files follow the grammar: valid but for JSON.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for f, error in _scan(batches, False):
-                error = confirmed(f, error)
                 yield f.document_id, f.path, language(f.path), error is None, error and error[0], error and error[1]
 
         yield from _batches(rows(), _FILES_SCHEMA)
@@ -153,7 +138,7 @@ def file_functions(chunks: DataFrame, documents: DataFrame, with_code: bool = Tr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for f, error in _scan(batches, True):
-                if confirmed(f, error) is None and f.lines:
+                if error is None and f.lines:
                     lang = language(f.path)
                     for x in functions_of(f.lines, lang, hierarchy):
                         yield (f.document_id, f.path, lang, *x[:-1], x[-1] if with_code else None)

@@ -13,6 +13,8 @@ import pkgutil
 from functools import lru_cache
 
 END = "$end"
+#: Signs that stand for strings, bytes and character constants in token streams: none can be a name.
+CODES = {"S": '"', "B": "`", "Q": "'"}
 MEMO_LIMIT = 400_000  # entries kept per grammar and process before the memo starts afresh
 
 
@@ -38,7 +40,7 @@ def read_grammar(*names: str) -> tuple[str, list[tuple[str, tuple[str, ...]]]]:
                     rules.append((lhs, tuple(alt)))
                     alt = []
                 elif w != "%empty":
-                    alt.append(w.replace("BAR", "|") if w.startswith("BAR") else w)
+                    alt.append(w.replace("BAR", "|") if w.startswith("BAR") else CODES.get(w, w))
             rules.append((lhs, tuple(alt)))
     return start, list(dict.fromkeys(rules))
 
@@ -144,10 +146,23 @@ class Recogniser:
     def start(self) -> tuple[int, ...]:
         return (0,)
 
-    def tidy(self) -> None:
-        """Between files: bounds the memo's memory."""
-        if len(self.lines) + len(self.steps) > MEMO_LIMIT or len(self.nodes) > MEMO_LIMIT:
-            self._reset()
+    def tidy(self, *configs: tuple) -> list[tuple]:
+        """Bounds the memo's memory, also inside a file: past the limit it starts afresh with the stacks of the given configurations."""
+        if len(self.lines) + len(self.steps) <= MEMO_LIMIT and len(self.nodes) <= MEMO_LIMIT:
+            return list(configs)
+        nodes, fresh = self.nodes, {0: 0}
+        self._reset()
+        out = []
+        for config in configs:
+            for n in config:
+                path = []
+                while n not in fresh:
+                    path.append(n)
+                    n = nodes[n][1]
+                for k in reversed(path):
+                    fresh[k] = self._node(nodes[k][0], fresh[nodes[k][1]])
+            out.append(tuple(sorted(fresh[n] for n in config)))
+        return out
 
     def _node(self, state: int, parent: int) -> int:
         key = (state, parent)

@@ -5,9 +5,10 @@ programme over the global length histogram chooses bucket bounds that minimise p
 bucket documents form batches within the token budget.  A document larger than a container is
 split into full containers and a rest; only such documents are split.
 
-How space is kept: a bucket is packed by its real sizes, and bounds are chosen near capacity / k,
-so that k items of a bucket fill a container.  What a batch leaves free is given to smaller items:
-leftovers of all buckets are matched by size class, largest first, before new containers open.
+How space is kept: an item padded to its bucket's bound takes what capacity // bound items leave
+each other, and the bounds that waste least of that decide how many items a batch has.  The padding
+is not left empty: a completing step gives it, by real sizes, to items of smaller buckets, whose own
+batches form only afterwards.
 
 Null ids or texts are left out; empty texts take no space and stay out; repeated doc_ids count
 once; extra columns are ignored; an empty table gives an empty result.
@@ -109,40 +110,54 @@ def bucket_bounds(histogram: np.ndarray, buckets: int = 24, step: int = 8) -> li
     return sorted(set(out) | {capacity})
 
 
-def fill(sizes: np.ndarray, buckets: np.ndarray, capacity: int) -> np.ndarray:
-    """Container number of each item: batches inside each bucket, largest bucket first; what they leave free goes to the items of smaller buckets.
+def fill(sizes: np.ndarray, bounds: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Container of each item, and the bound of the bucket whose batch it is part of.
 
-    The open containers are kept by free space; an item goes where it leaves least free (best fit),
-    so a batch of a bucket is completed before another opens.
+    Buckets go from the largest to the smallest.  A batch of a bucket takes as many of its items,
+    largest first, as the token budget holds when each is padded to the bucket's bound: capacity //
+    bound.  What the batch leaves free by real sizes is completed with items of smaller buckets, the
+    largest that fits first, and then with further items of its own bucket.
     """
-    order = np.lexsort((np.arange(len(sizes)), -sizes, -buckets))
-    box = np.empty(len(sizes), np.int64)
-    by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bits = 0  # bit f is set while a container with f free tokens is open
+    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i in range(len(sizes) - 1, -1, -1):
+        waiting[sizes[i]].append(i)
+    bits = sum(1 << s for s, x in enumerate(waiting) if x)  # bit s is set while items of s tokens wait
+    box, batch = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
     opened = 0
-    for i in order:
-        s = int(sizes[i])
-        rest = bits >> s
-        if rest:
-            free = s + (rest & -rest).bit_length() - 1
-            b = by_free[free].pop()
-            if not by_free[free]:
-                bits &= ~(1 << free)
-            free -= s
-        else:
-            b, free = opened, capacity - s
+
+    def take(mask: int, bound: int) -> int:
+        """Puts the largest waiting item under the mask into the open container; its size."""
+        nonlocal bits
+        s = (bits & mask).bit_length() - 1
+        i = waiting[s].pop()
+        if not waiting[s]:
+            bits &= ~(1 << s)
+        box[i], batch[i] = opened, bound
+        return s
+
+    def up_to(n: int) -> int:
+        return (1 << (n + 1)) - 1
+
+    for low, bound in zip(reversed([0, *bounds[:-1]]), reversed(bounds)):
+        own = up_to(bound) ^ up_to(low)
+        while bits & own:
+            free, room = capacity, capacity // bound
+            while room and bits & own:
+                free -= take(own, bound)
+                room -= 1
+            while bits & up_to(min(free, low)):
+                free -= take(up_to(min(free, low)), bound)
+            while bits & own & up_to(free):
+                free -= take(own & up_to(free), bound)
             opened += 1
-        box[i] = b
-        if free:
-            by_free[free].append(b)
-            bits |= 1 << free
-    return box
+    return box, batch
 
 
 def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, group: int = GROUP) -> DataFrame:
-    """(container, doc_id, part, tokens, bucket): every token of every document once, no container over capacity.
+    """(container, doc_id, part, tokens, bucket, batch): every token of every document once, no container over capacity.
 
-    Bounds come from the whole corpus's histogram (capacity + 1 numbers).  Items are dealt into
+    batch is the bound of the bucket that the container's batch was formed in, bucket that of the
+    item's own; it is smaller where the item completes a batch of another bucket.  Bounds come from the whole corpus's histogram (capacity + 1 numbers).  Items are dealt into
     groups of about ``group`` items at random, each with the corpus's mix of lengths, and a group is
     packed in one task.
     """
@@ -150,7 +165,7 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
     full = F.floor((F.col("tokens") - 1) / capacity).cast("int")
     items = counts.withColumn("_full", full).select("doc_id", F.explode(F.sequence(F.lit(0), F.col("_full"))).alias("part"), "tokens", "_full")
     items = items.select("doc_id", "part", F.when(F.col("part") < F.col("_full"), F.lit(capacity)).otherwise(F.col("tokens") - F.col("_full") * capacity).cast("bigint").alias("tokens"))
-    whole = items.where(F.col("tokens") == capacity).select(F.concat(F.lit("f-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("part").cast("string")).alias("container"), "doc_id", "part", "tokens", F.lit(capacity).alias("bucket"))
+    whole = items.where(F.col("tokens") == capacity).select(F.concat(F.lit("f-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("part").cast("string")).alias("container"), "doc_id", "part", "tokens", F.lit(capacity).alias("bucket"), F.lit(capacity).alias("batch"))
     rest = items.where(F.col("tokens") < capacity)
     rows = rest.groupBy("tokens").agg(F.count("*").alias("n")).collect()  # at most `capacity` rows
     histogram = np.zeros(capacity + 1, np.int64)
@@ -165,16 +180,16 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
         pdf = pdf.sort_values(["doc_id", "part"])
         sizes = pdf["tokens"].to_numpy()
         bucket = np.array(bounds)[np.searchsorted(bounds, sizes)]
-        box = fill(sizes, bucket, capacity)
+        box, batch = fill(sizes, bounds, capacity)
         name = "g" + str(pdf["_g"].iloc[0]) + "-"
-        return pd.DataFrame({"container": [name + str(b) for b in box], "doc_id": pdf["doc_id"], "part": pdf["part"], "tokens": sizes, "bucket": bucket})
+        return pd.DataFrame({"container": [name + str(b) for b in box], "doc_id": pdf["doc_id"], "part": pdf["part"], "tokens": sizes, "bucket": bucket, "batch": batch})
 
     mixed = rest.withColumn("_g", F.pmod(F.xxhash64("doc_id", "part"), F.lit(groups)).cast("int"))
-    boxed = mixed.groupBy("_g").applyInPandas(run, "container string, doc_id bigint, part int, tokens bigint, bucket int")
+    boxed = mixed.groupBy("_g").applyInPandas(run, "container string, doc_id bigint, part int, tokens bigint, bucket int, batch int")
     return whole.unionByName(boxed)
 
 
 def packing_summary(containers: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Containers, items, tokens and unused share per bucket of a container's largest item, one more row for all."""
-    boxes = containers.groupBy("container").agg(F.max("bucket").alias("bucket"), F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
-    return boxes.rollup("bucket").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens")).withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * capacity))
+    """Containers, items, items that complete batches of larger buckets, tokens and unused share per bucket of the batches, one more row for all."""
+    boxes = containers.groupBy("container").agg(F.max("batch").alias("bucket"), F.count("*").alias("items"), F.sum((F.col("bucket") < F.col("batch")).cast("bigint")).alias("completing"), F.sum("tokens").alias("tokens"))
+    return boxes.rollup("bucket").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("completing").alias("completing"), F.sum("tokens").alias("tokens")).withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * capacity))

@@ -172,3 +172,64 @@ def test_subjects_held_out(spark):
 def test_subjects_of_nothing(spark):
     docs, labels = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, subject string")
     assert subjects.assigned(docs, labels).count() == 0
+
+
+def test_bounds_decide_the_batches():
+    sizes = np.array(random.Random(8).choices(range(5, 1900), k=3000))
+    histogram = np.bincount(sizes, minlength=2049)
+    results = []
+    for bounds in (packing.bucket_bounds(histogram), [100, 700, 2048]):
+        own = np.array(bounds)[np.searchsorted(bounds, sizes)]
+        box, batch = packing.fill(sizes, bounds, 2048)
+        assert np.bincount(box, weights=sizes).max() <= 2048
+        for b in np.unique(box)[:200]:
+            here = box == b
+            assert len(set(batch[here])) == 1 and (own[here] <= batch[here]).all()
+            if b < box.max() - 1:  # a batch has as many items of its own bucket as the padded sizes allow, but for a bucket's last
+                assert (own[here] == batch[here]).sum() >= min(2048 // batch[here][0], 1)
+        results.append(box)
+        assert 1 - sizes.sum() / (2048 * (box.max() + 1)) < 0.05
+    assert len({tuple(np.bincount(r)) for r in results}) == 2
+
+
+@pytest.mark.parametrize("sf,group", [("sf0.01", 50_000), ("sf0.1", 2_000)])
+def test_little_space_is_unused(spark, sf, group):
+    from lodeweave.session import table
+
+    row = packing.packing_summary(packing.packed(table(spark, f"/root/testdata/{sf}", "documents"), group=group)).where("bucket is null").first()
+    assert row.unused < 0.01 and 0 < row.completing < row["items"]
+
+
+def planted(rng, edits):
+    """A document with a passage of 13 words of an item and so many edited letters in it, and the item."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9)))
+    item = [word() for _ in range(60)]
+    a = rng.randrange(0, 47)
+    passage = list(" ".join(item[a : a + 13]))
+    for k in rng.sample(range(len(passage)), edits):
+        passage[k] = rng.choice("zyx") if passage[k] != " " else " "
+    return " ".join([word() for _ in range(50)] + ["".join(passage)] + [word() for _ in range(50)]), " ".join(item)
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_planted_passages_are_found(edits):
+    rng = random.Random(20 + edits)
+    found = 0
+    for _ in range(200):
+        doc, item = planted(rng, edits)
+        rows = leakage.Index([(1, item)]).regions(leakage.normal(doc))
+        found += any(r[5] <= edits for r in rows)
+        assert all(0 <= r[5] <= leakage.EDITS for r in rows)
+    assert found == 200
+
+
+def test_long_leaks_with_many_edits_are_found():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9)))
+    item = [word() for _ in range(60)]
+    doc = [w if k % 10 else "zz" + w for k, w in enumerate(item)]
+    rows = leakage.Index([(1, " ".join(item))]).regions(leakage.normal(" ".join(doc)))
+    assert rows and min(r[5] for r in rows) <= 2 and max(r[6] for r in rows) == 9
+    assert leakage.Index([(1, " ".join(item))]).regions(leakage.normal(" ".join(word() for _ in range(500)))) == []
+    repeated = " ".join(["a b"] * 40)
+    assert max(r[6] for r in leakage.Index([(1, repeated)]).regions(leakage.normal(repeated))) >= 13

@@ -1,4 +1,4 @@
-"""Subject areas of documents: bisecting k-means over normalised term vectors, leaves named by their discriminative terms, subjects by leaf mixture.
+"""Subject areas of documents: bisecting k-means over normalised term vectors, leaves named by labelled documents, sentences put on leaves by the leaves' discriminative terms, subjects by a document's mixture of leaves.
 
 Null texts give no subject; a document whose sentences hold no known term takes the most frequent
 subject of the labels; repeated rows come out once (the clusters see them as often as they occur); extra columns are ignored; without documents or
@@ -28,10 +28,10 @@ TERMS, LEAVES, LABELLED = 8192, 32, 20_000
 ROUNDS = 2
 #: Terms in a larger share of the documents than this say nothing of their subject.
 MAX_SHARE = 0.3
-#: Terms whose weight for a subject is a smaller part of that of its best terms are too weak to tell anything.
-CLEAR = 0.3
-#: Weight that a sentence's terms must reach together for the sentence to deal with a subject.
-SPEAKS = 1.0
+#: A leaf tells a subject if that has so many times the labelled weight of the next one there.
+PURE = 3
+#: Weight that a sentence's terms must reach together for the sentence to lie on a leaf.
+SPEAKS = 0.6
 #: Words of at least three letters, not part of register names and numbers; ends of sentences.
 _TOKENS = re.compile(r"(?<!\w)[a-zà-öø-ÿœß]{3,}(?!\w)|[.!?](?=\s)|\n")
 _ENDS = frozenset(".!?\n")
@@ -284,31 +284,8 @@ def discriminative(centres: np.ndarray) -> np.ndarray:
     return d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-12)
 
 
-def sentence_terms(text: str, index: dict[str, int]) -> list[list[int]]:
-    out = []
-    for s in _SENTENCE.split(text.lower()):
-        w = [x for x in re.findall(r"\w+", s) if _WORD.fullmatch(x)]
-        found = [index[x] for x in w if x in index]
-        found += [index[p] for p in map(" ".join, zip(w, w[1:])) if p in index]
-        out.append(found)
-    return out
-
-
-def shares(text: str, index: dict[str, int], weights: np.ndarray) -> tuple[np.ndarray, int]:
-    """Share of each subject among the sentences that have one, and how many those are. weights: terms by subjects."""
-    total, n = np.zeros(weights.shape[1]), 0
-    for found in sentence_terms(text, index):
-        if found:
-            score = weights[found].sum(axis=0)
-            best = int(score.argmax())
-            if score[best] >= SPEAKS:
-                total[best] += 1
-                n += 1
-    return (total / n if n else total), n
-
-
 def leaf_subjects(points: DataFrame, labels: DataFrame, centres: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Subjects, and per leaf how much more than on average labelled documents near it have each subject."""
+    """Subjects, and per leaf the share of each among the labelled documents near it, every subject weighing the same."""
     named = labels.where("doc_id is not null and subject is not null").select("doc_id", "subject").distinct()
     some = named.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     some = some.orderBy(F.xxhash64("doc_id")).limit(LABELLED)  # a documented bound on what names the leaves
@@ -322,30 +299,34 @@ def leaf_subjects(points: DataFrame, labels: DataFrame, centres: np.ndarray) ->
             for s in r.subjects:
                 near[:, names.index(s)] += w / w.sum() / len(r.subjects)
     near /= near.sum(axis=0, keepdims=True)
-    near /= near.sum(axis=1, keepdims=True)
-    return names, np.maximum(near - 1 / max(1, len(names)), 0) ** 2
-
+    return names, near / near.sum(axis=1, keepdims=True)
 
-def term_weights(centres: np.ndarray, near: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Terms by subjects: what the discriminative terms of the leaves say of each subject, above what they say of the others."""
-    w = discriminative(centres).T @ near
-    top = np.sort(w, axis=1)
-    w = np.maximum(w - (top[:, -2:-1] if w.shape[1] > 1 else 0), 0)  # a term that speaks for two subjects speaks for none
-    w = np.sqrt(w)
-    return np.where(w >= CLEAR * np.quantile(w, 0.999, axis=0, keepdims=True), w, 0) * idf[:, None]
 
+def leaf_terms(centres: np.ndarray, near: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Terms by leaves: how much a term tells a leaf from the mean of all and from the leaves of other subjects.
 
-def shares(ids: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, int]:
-    """Share of each subject among the sentences that deal with one, and how many those are. weights: terms by subjects."""
-    total = np.zeros(weights.shape[1])
+    A leaf has the subject that is nearest to it; leaves whose nearest subject is not clear tell
+    nothing, and a term speaks for the leaves of one subject only.
+    """
+    w = discriminative(centres).T
+    ranked = np.sort(near, axis=1)[:, ::-1]
+    if near.shape[1] > 1:
+        w[:, ranked[:, 0] < PURE * ranked[:, 1]] = 0
+    label = near.argmax(axis=1)
+    best = np.stack([w[:, label == k].max(axis=1, initial=0) for k in range(near.shape[1])], axis=1)
+    top = np.sort(best, axis=1)[:, ::-1]
+    others = np.where(best.argmax(axis=1)[:, None] == np.arange(near.shape[1]), top[:, 1:2] if near.shape[1] > 1 else 0, top[:, :1])
+    return np.maximum(w - others[:, label], 0) * idf[:, None]
+
+
+def mixture(ids: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A document's mixture of leaves: the mean of its sentences', each spread over the leaves by what its terms weigh for them; zeros if no sentence has such terms."""
     if not len(ends) or not weights.shape[1]:
-        return total, 0
+        return np.zeros(weights.shape[1])
     score = np.add.reduceat(weights[ids], np.concatenate(([0], ends[:-1])), axis=0)
-    best = score.argmax(axis=1)
-    best = best[score[np.arange(len(best)), best] >= SPEAKS]
-    if len(best):
-        total += np.bincount(best, minlength=len(total)) / len(best)
-    return total, len(best)
+    total = score.sum(axis=1)
+    score = score[total >= SPEAKS] / total[total >= SPEAKS, None]
+    return score.sum(axis=0) / max(1, len(score))
 
 
 #: Share of the sentences that makes a subject one of the document's.
@@ -353,18 +334,19 @@ LEAST_SHARE = 0.23
 
 
 class Model:
-    """What the scoring of a document needs; its size is fixed by ``TERMS`` and the number of subjects."""
+    """What the scoring of a document needs; its size is fixed by ``TERMS``, ``LEAVES`` and the number of subjects."""
 
-    def __init__(self, names: list[str], weights: np.ndarray) -> None:
-        self.names, self.weights = names, weights
+    def __init__(self, names: list[str], weights: np.ndarray, label: np.ndarray) -> None:
+        self.names, self.weights, self.label = names, weights, label
 
     def subjects(self, ids: np.ndarray, ends: np.ndarray, least: float = LEAST_SHARE) -> list[tuple[str, float]]:
-        share, n = shares(ids, ends, self.weights)
+        """The subjects of the leaves in the document's mixture that reach the least share, the largest if none does; three at most, as the task defines."""
+        leaves = mixture(ids, ends, self.weights)
+        if not leaves.any():
+            return []
+        share = np.bincount(self.label, weights=leaves, minlength=len(self.names))
         order = np.argsort(-share, kind="stable")
-        out = [(self.names[i], float(share[i])) for i in order[:3] if share[i] >= least]
-        if not out and n:
-            out = [(self.names[order[0]], float(share[order[0]]))]
-        return out
+        return [(self.names[i], float(share[i])) for i in order[:3] if share[i] >= least] or [(self.names[order[0]], float(share[order[0]]))]
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str], Model]:
@@ -372,7 +354,9 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str],
     points, vocabulary, idf = vectors(documents)
     centres = leaves(points, len(vocabulary))
     names, near = leaf_subjects(points, labels, centres)
-    return points, vocabulary, Model(names, term_weights(centres, near, idf) if len(names) and len(centres) else np.zeros((len(vocabulary), len(names))))
+    if not len(names) or not len(centres):
+        return points, vocabulary, Model(names, np.zeros((len(vocabulary), 0)), np.zeros(0, np.int64))
+    return points, vocabulary, Model(names, leaf_terms(centres, near, idf), near.argmax(axis=1))
 
 
 def assigned(documents: DataFrame, labels: DataFrame, least: float = LEAST_SHARE) -> DataFrame:

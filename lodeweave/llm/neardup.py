@@ -9,7 +9,8 @@ id as representative.  Extra columns are ignored and an empty table gives empty
 Plan: (1) one pass over the texts writes each chunk's shingle hashes and a fixed-size frequency
 sketch; (2) each set's rarest shingles, as many as the threshold needs, go to hash buckets as
 packed blocks, copies dropped before the shuffle; (3) inside a bucket chunks that share a prefix
-shingle become candidates if length and position allow; (4) distinct candidates meet their two
+shingle become candidates if length and position allow, and the list of a shingle in more than
+``HEAVY`` prefixes is cut into blocks, each pair of which meets in a group of its own; (4) distinct candidates meet their two
 sets once, pass a suffix filter and are verified.  Chunks with equal sets share one key from (2)
 on, so groups of copies cost one member.
 """
@@ -31,8 +32,10 @@ from ..operators.components import connected_components
 from ..session import written
 
 SHINGLE, MIN_WORDS = 5, 40
-#: Bytes kept of a shingle's hash. 5 hold up to some 10^10 shingles; false candidates beyond are still verified away.
+#: Bytes kept of a shingle's hash. Two shingles of a pair of chunks fall together once in 10^12 times the product of their sizes.
 HASH_BYTES = 5
+#: Records of one shingle that a group pairs; longer lists are split.
+HEAVY = 2_000
 SKETCH_BITS = 22
 SKETCH_PARTS = 64
 _PREFIX = re.compile(r"(?m)^\d+: ?")
@@ -197,15 +200,19 @@ def prefix_blocks(sets: DataFrame, sketch: np.ndarray, threshold: float, buckets
     return sets.select("key", "n", "blob").mapInArrow(run, "bucket int, blob binary")
 
 
-def pairs_in_bucket(r: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+def pairs_in_bucket(r: np.ndarray, threshold: float, side: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """Pairs (key_a, key_b, least overlap, shared) of one bucket's records, block by block; a pair may come in several blocks.
 
+    With ``side`` only records of different sides pair.
+
     Records of a shingle are sorted by set size; each meets those after it while the length filter
     allows.  The smaller set must hold the shingle in its index prefix, and the positions must leave
     enough shingles before and after them.
     """
-    r = np.unique(r)  # by hash, then key: copies from several tasks fall together
-    r = r[np.lexsort((r["key"], r["n"], r["hash"]))]
+    order = np.lexsort((r["key"], r["n"], r["hash"]))
+    r = r[order]
+    if side is not None:
+        side = side[order]
     edges = np.flatnonzero(np.diff(r["hash"])) + 1
     start = np.concatenate(([0], edges))
     end = np.concatenate((edges, [len(r)]))
@@ -231,6 +238,8 @@ def pairs_in_bucket(r: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
         alive, a, b = alive[fits], a[fits], b[fits]
         need = np.ceil(threshold / (1 + threshold) * (n[a] + n[b]) - 1e-9).astype(np.int64)
         good = np.minimum(pos[a], pos[b]) + 1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1) >= need
+        if side is not None:
+            good &= side[a] != side[b]
         if good.any():
             x, y = r["key"][a[good]], r["key"][b[good]]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y), need[good], np.ones(len(x), np.int64)], axis=1))
@@ -253,19 +262,53 @@ def _summed(found: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def candidates(blocks: DataFrame, threshold: float) -> DataFrame:
-    """Distinct candidate pairs (key_a < key_b, need): pairs whose prefixes share enough shingles over all buckets."""
+_PAIRS = "key_a bigint, key_b bigint, need bigint, shared bigint"
+
+
+def _frame(found: list[np.ndarray]):
+    import pandas as pd
+
+    both = _summed(found) if found else np.zeros((0, 4), np.int64)
+    return pd.DataFrame({"key_a": both[:, 0], "key_b": both[:, 1], "need": both[:, 2], "shared": both[:, 3]})
+
+
+def candidates(blocks: DataFrame, threshold: float, heavy: int = HEAVY) -> DataFrame:
+    """Distinct candidate pairs (key_a < key_b, need): pairs whose prefixes share enough shingles over all buckets.
+
+    A bucket's task pairs the records of its shingles.  A shingle with more than ``heavy`` of them
+    leaves the task as blocks of that size; each pair of blocks becomes a group, so that no task has
+    more than 2 * ``heavy`` records of a shingle to pair, and every pair is still met once.
+    """
 
     def run(pdf):
         import pandas as pd
 
-        r = np.concatenate([_decode(b) for b in pdf["blob"]])
-        found = list(pairs_in_bucket(r, threshold))
-        both = _summed(found) if found else np.zeros((0, 4), np.int64)
-        return pd.DataFrame({"key_a": both[:, 0], "key_b": both[:, 1], "need": both[:, 2], "shared": both[:, 3]})
-
-    parts = blocks.groupBy("bucket").applyInPandas(run, "key_a bigint, key_b bigint, need bigint, shared bigint")
-    added = parts.groupBy("key_a", "key_b", "need").agg(F.sum("shared").alias("shared"))
+        r = np.unique(np.concatenate([_decode(b) for b in pdf["blob"]]))  # by hash, then key: copies from several tasks fall together
+        cuts = np.flatnonzero(np.diff(r["hash"])) + 1
+        lists = [x for x in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(r)]))) if x[1] - x[0] > heavy]
+        light, rows = np.ones(len(r), bool), []
+        for a, b in lists:
+            light[a:b] = False
+            parts = -(-(b - a) // heavy)
+            rows += [(int(r["hash"][a]), k, parts, _encode(r[a + k * heavy : min(b, a + (k + 1) * heavy)])) for k in range(parts)]
+        out = _frame(list(pairs_in_bucket(r[light], threshold)))
+        pair = np.repeat([True, False], [len(out), len(rows)])  # keys are too large for the floats that missing numbers would make of them
+        columns = {c: pd.arrays.IntegerArray(np.concatenate([out[c].to_numpy(), np.zeros(len(rows), np.int64)]), ~pair) for c in out.columns}
+        for k, c in enumerate(("hash", "part", "parts")):
+            columns[c] = pd.arrays.IntegerArray(np.array([0] * len(out) + [x[k] for x in rows], np.int64), pair.copy())
+        return pd.DataFrame({**columns, "blob": [None] * len(out) + [x[3] for x in rows]})
+
+    def across(pdf):
+        pdf = pdf.sort_values("part")
+        lists = [_decode(b) for b in pdf["blob"]]
+        side = np.repeat(np.arange(len(lists)), [len(x) for x in lists]) if len(lists) > 1 else None
+        return _frame(list(pairs_in_bucket(np.concatenate(lists), threshold, side)))
+
+    met = written(blocks.groupBy("bucket").applyInPandas(run, f"{_PAIRS}, hash bigint, part bigint, parts bigint, blob binary"), "met")
+    split = met.where("hash is not null").select("hash", "part", "blob", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("_o"))
+    met_blocks = split.groupBy("hash", F.least("part", "_o").alias("_lo"), F.greatest("part", "_o").alias("_hi")).applyInPandas(across, _PAIRS)
+    every = met.where("key_a is not null").select("key_a", "key_b", "need", "shared").unionByName(met_blocks)
+    added = every.groupBy("key_a", "key_b", "need").agg(F.sum("shared").alias("shared"))
     return added.where(F.col("shared") >= F.least(F.lit(SHARED), F.col("need"))).drop("shared")
 
 

@@ -47,3 +47,18 @@ def test_packing_of_hashes():
     s = neardup.shingles(" ".join(map(str, range(300))))
     assert (neardup.unpack(neardup.pack(s)) == s).all()
     assert neardup.shingles(" ".join(map(str, range(39)))) is None and len(neardup.shingles("1: " + " ".join(map(str, range(40))))) == 36
+
+
+def test_long_lists_are_split_without_loss(spark):
+    """Many sets that share their rarest shingles: split lists give the pairs of unsplit ones, and no block pairs more than twice its size."""
+    rng = random.Random(2)
+    head = " ".join(f"h{i}" for i in range(60))
+    rows = [(i, head + " " + " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(2, 12)))) for i in range(90)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    sets, sketches = neardup.shingle_sets(df)
+    blocks = neardup.prefix_blocks(sets, neardup.summed_sketch(sketches), 0.6, 4)
+    whole, split = ({tuple(r) for r in neardup.candidates(blocks, 0.6, heavy).collect()} for heavy in (10_000, 7))
+    assert whole == split and len(whole) > 1000
+    texts = {i: set(neardup.shingles(t).tolist()) for i, t in rows}
+    want = {(a, b) for a in texts for b in texts if a < b and len(texts[a] & texts[b]) >= 0.6 * len(texts[a] | texts[b])}
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(df, 0.6).collect()} == want

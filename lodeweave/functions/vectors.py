@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,3 +23,8 @@ def deterministic_embedding(text: Column) -> Column:
     """Eight numbers in [-1, 1] from the SHA-256 of the text."""
     digest = F.sha2(text, 256)
     return F.array(*[F.round(F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("double") / 255 * 2 - 1, 6) for i in range(8)])
+
+
+def deterministic_vector(text: str) -> list[float]:
+    """The same of one text on the driver."""
+    return [round(b / 255 * 2 - 1, 6) for b in hashlib.sha256(text.encode()).digest()[:8]]

@@ -34,23 +34,49 @@ _SLOT = re.compile(r"\.\s*([A-Za-z_]\w*)\s*=\s*&?\s*([A-Za-z_]\w*)\s*(?=[,}\n])"
 _SLOT_CALL = re.compile(r"\b([A-Za-z_]\w*(?:(?:->|\.)[A-Za-z_]\w*)*)(?:->|\.)([A-Za-z_]\w*)\s*\(")
 
 
-def masked(text: str) -> str:
-    """Comments, literals, directives and `#if 0` blocks blanked, offsets and lines kept."""
+def _branch(kind: str, rest: str, defined: frozenset) -> bool:
+    """Whether a conditional branch is read: conditions that nothing is known of are, CONFIG_ names count as defined only if named."""
+    rest = rest.strip()
+    if kind in ("ifdef", "ifndef", "elifdef", "elifndef"):
+        word = re.match(r"\w+", rest)
+        name = word[0] if word else ""
+        known = name in defined or not name.startswith("CONFIG_") and kind in ("ifdef", "elifdef")
+        return known == (kind in ("ifdef", "elifdef"))
+    while rest.startswith("(") and closing(rest, 0) == len(rest) - 1:
+        rest = rest[1:-1].strip()
+    m = re.fullmatch(r"(!?)\s*(?:(?:defined|IS_ENABLED|IS_BUILTIN|IS_REACHABLE|IS_MODULE)\b\s*\(?\s*)?(CONFIG_\w+)\s*\)?", rest)
+    if m:
+        return (m[2] in defined) != bool(m[1])
+    return not re.fullmatch(r"0[uUlL]*|0x0+[uUlL]*|false", rest)
+
+
+def masked(text: str, defined: frozenset = frozenset()) -> str:
+    """Comments, literals, directives and the branches that are not read blanked, offsets and lines kept.
+
+    Of the branches of one condition only the first that holds is read, whatever follows it.
+    """
     blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    out, stack = [], []
+    out: list[str] = []
+    stack: list[list[bool]] = []  # read now, some branch was read
+    directive, goes_on = "", False
     for line in _TEXT.sub(blank, text).split("\n"):
-        m = re.match(r"\s*#\s*(\w+)\s*(.*)", line)
-        if m:
-            if m[1] in ("if", "ifdef", "ifndef"):
-                off = m[1] == "if" and re.fullmatch(r"\(?\s*0\s*\)?\s*", m[2]) or m[1] == "ifdef" and m[2].startswith("CONFIG_") or m[1] == "if" and re.fullmatch(r"(?:defined\s*\(?\s*|IS_ENABLED\s*\(\s*)CONFIG_\w+\s*\)?\s*", m[2])
-                stack.append(not off)
-            elif m[1] in ("else", "elif") and stack:
-                stack[-1] = not stack[-1]
-            elif m[1] == "endif" and stack:
-                stack.pop()
-            out.append(" " * len(line))
-        else:
-            out.append(line if all(stack) else " " * len(line))
+        if not goes_on and not re.match(r"\s*#", line):
+            out.append(line if all(x[0] for x in stack) else " " * len(line))
+            continue
+        out.append(" " * len(line))
+        directive = directive + " " + line.rstrip("\\") if goes_on else line.rstrip("\\")
+        goes_on = line.rstrip().endswith("\\")
+        m = re.match(r"\s*#\s*(\w+)\s*(.*)", directive)
+        if goes_on or not m:
+            continue
+        if m[1] in ("if", "ifdef", "ifndef"):
+            on = _branch(m[1], m[2], defined)
+            stack.append([on, on])
+        elif m[1] in ("else", "elif", "elifdef", "elifndef") and stack:
+            on = not stack[-1][1] and (m[1] == "else" or _branch("if" if m[1] == "elif" else m[1], m[2], defined))
+            stack[-1] = [on, stack[-1][1] or on]
+        elif m[1] == "endif" and stack:
+            stack.pop()
     return "\n".join(out)
 
 

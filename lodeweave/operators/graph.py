@@ -111,15 +111,13 @@ def call_components(edges: DataFrame) -> DataFrame:
     return parts.join(ranked, "component").select("node", "component", "size", "rank")
 
 
-def spanning_forest(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Edges of the spanning forest of ``calls`` that comes first by (-weight, -count, src, dst): Boruvka rounds over a total order."""
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """Edges of the spanning forest of ``calls`` that comes first by (-weight, -count, src, dst): Boruvka rounds over a total order, each of which at least halves the trees left to join."""
     calls = edges.where("relation = 'calls' and src <> dst")
     key = F.struct((-F.col("weight")).alias("w"), (-F.col("count")).alias("c"), F.col("src").alias("s"), F.col("dst").alias("d"))
     live = written(calls.select(F.col("src").alias("a"), F.col("dst").alias("b"), key.alias("k")), "forest")
     forest = None
-    for _ in range(rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         ends = live.select(F.col("a").alias("v"), "k", "a", "b").unionByName(live.select(F.col("b").alias("v"), "k", "a", "b"))
         best = written(ends.groupBy("v").agg(F.min_by(F.struct("a", "b", "k"), "k").alias("e")).select("e.*").distinct(), "picked")
         picked = best.select(F.col("k.s").alias("src"), F.col("k.d").alias("dst"))

@@ -141,6 +141,14 @@ def reciprocal_rank(results: DataFrame, cases: DataFrame) -> DataFrame:
     return first.agg(F.count("*").alias("hits"), F.round(F.avg(1 / F.col("rank")), 4).alias("mrr"))
 
 
+def best_rank(ranked: DataFrame, wanted: Column) -> DataFrame:
+    """(case_id, rank, key) of the first row of the whole order that is wanted: the rows before it are counted, none are sorted."""
+    place = F.struct((-F.col("rank_score")).alias("s"), "symbol", "chunk_id")
+    first = ranked.where(wanted).agg(F.min(place).alias("_first")).where("_first is not null")
+    before = ranked.select(place.alias("_p")).join(F.broadcast(first), F.col("_p") <= F.col("_first"))  # one row
+    return before.groupBy("_first").agg(F.count("*").cast("int").alias("rank")).select(F.lit("q").alias("case_id"), "rank", F.col("_first.symbol").alias("key"))
+
+
 def candidate_cascade(evidence: DataFrame, matched: DataFrame, tokens: list[str], cap: int) -> DataFrame:
     """Evidence to score, by stages until ``cap`` rows are there: of matched chunks, of symbols that a token names, of rows a token occurs in.
 
@@ -163,3 +171,48 @@ def candidate_cascade(evidence: DataFrame, matched: DataFrame, tokens: list[str]
             break
         out = out.unionByName(stage.join(out.select(key), key, "left_anti").orderBy(*order).limit(cap - held).select(out.columns))
     return out
+
+
+def equal(rows: DataFrame, values: dict[str, str], sets: dict[str, list[str]]) -> DataFrame:
+    """Rows whose columns equal the values and lie in the sets, whatever the case; empty values and sets match all."""
+    for name, v in values.items():
+        if v.strip():
+            rows = rows.where(F.lower(name) == v.strip().lower())
+    for name, members in sets.items():
+        if members:
+            rows = rows.where(F.lower(name).isin([m.lower() for m in members]))
+    return rows
+
+
+def query_vector(query: str, embed=None) -> tuple[list[float] | None, str]:
+    """A query's vector and its source: none for prefixes and symbols, the provider's, else the deterministic one."""
+    if query_prefixes(query):
+        return None, "skipped-symbol-prefix"
+    if any("_" in t or re.search(r"\d", t) for t in query_tokens(query)):
+        return None, "skipped-symbol-token"
+    if embed is not None:
+        try:
+            return [float(x) for x in embed([query])[0]], "provider"
+        except Exception:  # noqa: BLE001 - any failure of the injected provider falls back
+            return X.deterministic_vector(query), "deterministic-fallback"
+    return X.deterministic_vector(query), "deterministic"
+
+
+def compatible(matches: DataFrame, query_source: str | None, least: float = 0.75, source: str = "source") -> DataFrame:
+    """Vector matches that count: a fallback query vector only meets deterministic vectors, and the score reaches the least. Runs after the top k."""
+    if query_source == "deterministic-fallback":
+        matches = matches.where(F.col(source).isin("deterministic", "deterministic-fallback"))
+    return matches.where(F.col("score") >= least)
+
+
+def with_vectors(rows: DataFrame, matches: DataFrame, key: str) -> DataFrame:
+    """Adds vector_score (0 without a match) and twice of it to rank_score; matches are a top k, which is broadcast."""
+    near = matches.select(key, F.col("score").alias("_v"))
+    joined = rows.join(F.broadcast(near), key, "left").withColumn("vector_score", F.coalesce("_v", F.lit(0.0))).drop("_v")
+    return joined.withColumn("rank_score", F.round(F.col("rank_score") + 2 * F.col("vector_score"), 4))
+
+
+def injected(rows: DataFrame, evidence: DataFrame, matches: DataFrame) -> DataFrame:
+    """Rows and, of the chunks that vectors matched, all evidence that isn't among them."""
+    own = evidence.join(F.broadcast(matches.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    return rows.unionByName(own.join(rows.select("chunk_id", "symbol").distinct(), ["chunk_id", "symbol"], "left_anti").select(rows.columns))

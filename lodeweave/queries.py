@@ -197,7 +197,7 @@ def _(t):
     return E.chunk_symbols(E.chunk_rows(t("chunks"), t("source_documents"))).select("symbol", V.canonical_register(F.col("symbol")).alias("register")).distinct()
 
 
-@query("scl_09_headings", "SELECT DISTINCT id, trim(regexp_extract(text, '(?m)^(\\d+: )?#{1,6}[ \\t]+(.+)$', 2)) AS heading FROM chunks WHERE text IS NOT NULL AND NOT contains(text, chr(13))")
+@query("scl_09_headings", "SELECT DISTINCT id, trim(regexp_extract(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '(?m)^(\\d+: )?#{1,6}[ \\t]+(.+)$', 2)) AS heading FROM chunks WHERE text IS NOT NULL")
 def _(t):
     return t("chunks").where("text is not null").select("id", V.heading(F.col("text")).alias("heading")).distinct()
 
@@ -519,7 +519,7 @@ def _(t):
 
 @query(
     "scl_10_section_ids",
-    """WITH c AS (SELECT DISTINCT ON (id) id, document_id, text, page, line_start FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL AND NOT contains(text, chr(13))),
+    """WITH c AS (SELECT DISTINCT ON (id) id, document_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') text, page, line_start FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL),
 d AS (SELECT id document_id, max(path) path FROM source_documents GROUP BY 1),
 s AS (SELECT c.*, path, trim(regexp_replace(lower(trim(regexp_extract(text, '(?m)^(\\d+: )?#{1,6}[ \\t]+(.+)$', 2))), '[^a-z0-9]+', '-', 'g'), '-') slug FROM c JOIN d USING (document_id))
 SELECT id, path || '#' || CASE WHEN slug <> '' THEN slug WHEN page > 0 THEN 'page-' || page WHEN line_start IS NOT NULL THEN 'lines-' || line_start ELSE 'section' END AS section FROM s""".replace("\\\\", "\\"),
@@ -687,9 +687,9 @@ def _(t):
 @query("ret_16_reciprocal_rank")
 def _(t):
     k = E.evidence(t("chunks"), t("source_documents")).where("access_type = 'write'")
-    ranked = R.query_evidence(k, t("chunks"), "who writes the SDMA ring registers", None)
-    ranked = written(ranked.orderBy(*R.rank_order()).limit(200).withColumn("rank", F.row_number().over(W.orderBy(*R.rank_order()))).select(F.lit("q").alias("case_id"), "rank", F.col("symbol").alias("key")), "ranked")
-    return R.reciprocal_rank(ranked, ranked.where("key like '%STATUS%'").select("case_id", "key").distinct())
+    ranked = written(R.query_evidence(k, t("chunks"), "who writes the SDMA ring registers", None).select("rank_score", "symbol", "chunk_id"), "ranked")
+    first = R.best_rank(ranked, F.col("symbol").contains("STATUS"))
+    return R.reciprocal_rank(first, first.select("case_id", "key"))
 
 
 @query("grf_11_enclosing_functions", f"""WITH {_EDGES}, f AS (SELECT DISTINCT path, line_start first_line, name FROM function_locations WHERE path IS NOT NULL AND line_start IS NOT NULL AND name IS NOT NULL)

@@ -34,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); where none is named, as in local tests, a temporary one is set."""
+    """The folder that all executors share (spark.checkpoint.dir); where none is named, a local master gets a temporary one and a cluster an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lodeweave-")
         atexit.register(shutil.rmtree, folder, True)
         d = "file://" + folder

@@ -12,8 +12,8 @@ from ..operators.jobs import upsert
 
 
 def guarded(edges: DataFrame) -> DataFrame:
-    """Edges without those that have a resolver wrapper at an end."""
-    return edges.where(~is_wrapper(F.col("src")) & ~is_wrapper(F.col("dst")))
+    """Edges without those that have a resolver wrapper at an end, by its label: `register:RREG32` is one."""
+    return edges.where(~is_wrapper(F.substring_index("src", ":", -1)) & ~is_wrapper(F.substring_index("dst", ":", -1)))
 
 
 def append(df: DataFrame, path: str, partitions: list[str] | None = None) -> None:

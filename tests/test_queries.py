@@ -1,7 +1,7 @@
 """Each core query with SQL gives the rows of its SQL on the smallest tables."""
 
 import pytest
-from lodeweave import queries
+from lodeweave import payload_queries, queries  # noqa: F401 - the first adds to the second
 from oracle import connect, rows
 
 

@@ -319,14 +319,24 @@ def leaf_terms(centres: np.ndarray, near: np.ndarray, idf: np.ndarray) -> np.nda
     return np.maximum(w - others[:, label], 0) * idf[:, None]
 
 
-def mixture(ids: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A document's mixture of leaves: the mean of its sentences', each spread over the leaves by what its terms weigh for them; zeros if no sentence has such terms."""
-    if not len(ends) or not weights.shape[1]:
-        return np.zeros(weights.shape[1])
-    score = np.add.reduceat(weights[ids], np.concatenate(([0], ends[:-1])), axis=0)
+def mixtures(ids: list[bytes], ends: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """Documents by leaves: a document's mixture is the mean of its sentences', each spread over the leaves by what its terms weigh for them; zeros if no sentence has such terms."""
+    out = np.zeros((len(ids), weights.shape[1]), np.float32)
+    terms = np.array([len(x) // 2 for x in ids])
+    sentences = np.array([len(x) // 4 for x in ends])
+    if not sentences.sum() or not weights.shape[1]:
+        return out
+    stops = np.frombuffer(b"".join(ends), "<u4").astype(np.int64) + np.repeat(np.cumsum(terms) - terms, sentences)
+    score = np.add.reduceat(weights[np.frombuffer(b"".join(ids), "<u2")], np.concatenate(([0], stops[:-1])), axis=0)
+    owner = np.repeat(np.arange(len(ids)), sentences)
     total = score.sum(axis=1)
-    score = score[total >= SPEAKS] / total[total >= SPEAKS, None]
-    return score.sum(axis=0) / max(1, len(score))
+    tells = total >= SPEAKS
+    if not tells.any():
+        return out
+    score, owner = score[tells] / total[tells, None], owner[tells]
+    docs, first, n = np.unique(owner, return_index=True, return_counts=True)
+    out[docs] = np.add.reduceat(score, first, axis=0) / n[:, None]
+    return out
 
 
 #: Share of the sentences that makes a subject one of the document's.
@@ -334,19 +344,21 @@ LEAST_SHARE = 0.23
 
 
 class Model:
-    """What the scoring of a document needs; its size is fixed by ``TERMS``, ``LEAVES`` and the number of subjects."""
+    """What the scoring of documents needs; its size is fixed by ``TERMS``, ``LEAVES`` and the number of subjects."""
 
     def __init__(self, names: list[str], weights: np.ndarray, label: np.ndarray) -> None:
-        self.names, self.weights, self.label = names, weights, label
+        tells = weights.any(axis=0)  # leaves that tell nothing take no part
+        self.names, self.weights = names, weights[:, tells].astype(np.float32)
+        self.of_subject = (label[tells][:, None] == np.arange(len(names))).astype(np.float32)
 
-    def subjects(self, ids: np.ndarray, ends: np.ndarray, least: float = LEAST_SHARE) -> list[tuple[str, float]]:
-        """The subjects of the leaves in the document's mixture that reach the least share, the largest if none does; three at most, as the task defines."""
-        leaves = mixture(ids, ends, self.weights)
-        if not leaves.any():
-            return []
-        share = np.bincount(self.label, weights=leaves, minlength=len(self.names))
-        order = np.argsort(-share, kind="stable")
-        return [(self.names[i], float(share[i])) for i in order[:3] if share[i] >= least] or [(self.names[order[0]], float(share[order[0]]))]
+    def subjects(self, ids: list[bytes], ends: list[bytes], least: float = LEAST_SHARE) -> list[list[tuple[str, float]]]:
+        """Per document the subjects of the leaves in its mixture that reach the least share, the largest if none does; three at most, as the task defines."""
+        share = mixtures(ids, ends, self.weights) @ self.of_subject
+        out = []
+        for row, order in zip(share.tolist(), np.argsort(-share, axis=1, kind="stable")[:, :3].tolist()):
+            best = [(self.names[i], row[i]) for i in order if row[i] >= least]
+            out.append(best or [(self.names[i], row[i]) for i in order[:1] if row[i] > 0])
+        return out
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str], Model]:
@@ -368,11 +380,9 @@ def assigned(documents: DataFrame, labels: DataFrame, least: float = LEAST_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            rows = []
-            for i, ids, ends in zip(*(c.to_pylist() for c in batch.columns)):
-                found = m.subjects(np.frombuffer(ids, "<u2"), np.frombuffer(ends, "<u4").astype(np.int64), least) or rest
-                rows += [(i, s, x) for s, x in found]
+        for batch in sliced(batches, 256):
+            keys, ids, ends = (c.to_pylist() for c in batch.columns)
+            rows = [(i, s, x) for i, found in zip(keys, m.subjects(ids, ends, least)) for s, x in found or rest]
             if rows:
                 a, b, c = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.float64())], names=["doc_id", "subject", "share"])

@@ -70,13 +70,16 @@ c AS (SELECT DISTINCT ON (id) id, document_id, text, line_start, page FROM chunk
 r AS (SELECT c.*, path, repo, corpus_id, {_SOURCE} source_type FROM c JOIN d USING (document_id)),
 s AS (SELECT DISTINCT id, symbol, source_type FROM (SELECT id, source_type, unnest(regexp_extract_all(text, '[A-Za-z_][0-9A-Za-z_]*(->[A-Za-z_][0-9A-Za-z_]*)*')) symbol FROM r) WHERE CASE WHEN source_type = 'register' THEN {_HEAD} ELSE {_ISSYM} END)"""
 _EVIDENCE = _CHUNKS + f""",
+an AS (SELECT *, split_part(path, '/', -1) || CASE WHEN source_type = 'pdf' THEN '#page=' || coalesce(nullif(page, 0), 1) ELSE '' END symbol FROM r WHERE source_type IN ('doc', 'pdf') AND regexp_matches(text, '\\S') AND id NOT IN (SELECT id FROM s)),
 x AS (SELECT r.*, symbol, CASE WHEN r.source_type = 'register' THEN CASE WHEN regexp_matches(symbol, '{V.FIELD_NAME}') THEN 'field' WHEN regexp_matches(symbol, '^(WREG|RREG|REG_)') THEN 'macro' WHEN {_HEAD} THEN 'register' ELSE {_ENTITY} END ELSE {_ENTITY} END entity_type FROM s JOIN r USING (id)),
 ev AS (SELECT id chunk_id, document_id, path, source_type, symbol, page, line_start, entity_type,
   CASE WHEN contains(text, 'REG_SET_FIELD') THEN CASE WHEN {_ENTITY} = 'field' THEN 'field_set' ELSE 'read_modify_write' END
        WHEN len(list_filter(regexp_extract_all(text, '\\bWREG[0-9A-Z_]*\\s*\\(([^)]*)', 1), lambda a: contains(a, symbol))) > 0 THEN 'write'
        WHEN len(list_filter(regexp_extract_all(text, '\\bRREG[0-9A-Z_]*\\s*\\(([^)]*)', 1), lambda a: contains(a, symbol))) > 0 THEN 'read' ELSE 'mention' END access_type,
   {_BLOCK.format("symbol || ' ' || path")} ip_block,
-  CASE WHEN list_contains(regexp_extract_all(text, '[0-9A-Za-z_]+'), split_part(symbol, '->', 1)) AND list_contains(regexp_extract_all(text, '[0-9A-Za-z_]+'), split_part(symbol, '->', -1)) THEN 0.95 ELSE 0.75 END confidence FROM x)"""
+  CASE WHEN list_contains(regexp_extract_all(text, '[0-9A-Za-z_]+'), split_part(symbol, '->', 1)) AND list_contains(regexp_extract_all(text, '[0-9A-Za-z_]+'), split_part(symbol, '->', -1)) THEN 0.95 ELSE 0.75 END confidence FROM x
+  UNION ALL SELECT id, document_id, path, source_type, symbol, page, line_start, CASE WHEN {_ISSYM} THEN {_ENTITY} WHEN source_type = 'pdf' THEN 'pdf_page' ELSE 'doc_section' END, 'mention',
+  {_BLOCK.format("symbol || ' ' || path")}, CASE WHEN regexp_matches(text, '\\b' || regexp_escape(symbol) || '\\b') THEN 0.95 ELSE 0.75 END FROM an)"""
 
 # ---------------------------------------------------------------- references (problem 3)
 

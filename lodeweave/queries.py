@@ -571,7 +571,7 @@ def _(t):
 @query("jon_05_chunk_facts", f"WITH {_EVIDENCE} SELECT c.id, count(ev.symbol) AS evidence FROM c JOIN d USING (document_id) LEFT JOIN ev ON ev.chunk_id = c.id GROUP BY 1")
 def _(t):
     rows = E.chunk_rows(t("chunks"), t("source_documents"))
-    n = E.chunk_symbols(rows).groupBy("id").agg(F.count("*").alias("_n"))
+    n = E.evidence(t("chunks"), t("source_documents"), False).groupBy(F.col("chunk_id").alias("id")).agg(F.count("*").alias("_n"))
     return rows.select("id").join(n, "id", "left").select("id", F.coalesce("_n", F.lit(0)).alias("evidence"))
 
 

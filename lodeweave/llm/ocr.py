@@ -217,9 +217,8 @@ def misread_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens that are misreadings, with the form they stand for."""
     counts = tokens.groupBy("word").agg(F.count("*").alias("n")).where("length(word) >= 2")
     keyed = counts.select("word", "n", F.explode(skeletons(F.col("word"))).alias("key"))
-    groups = keyed.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word")), asc=False), 1, 5).alias("forms"), F.count("*").alias("_c")).where("_c > 1")
-    options = keyed.join(groups, "key").select("word", "n", F.explode(F.filter("forms", lambda x: (x["word"] != F.col("word")) & (x["n"] >= RATIO * F.col("n")) & x["word"].rlike("^[a-z]+$"))).alias("o"))
-    options = options.select("word", "n", F.col("o.word").alias("form"), F.col("o.n").alias("form_n")).distinct()
+    forms = keyed.where((F.col("n") >= RATIO) & F.col("word").rlike("^[a-z]+$")).select("key", F.col("word").alias("form"), F.col("n").alias("form_n"))
+    options = keyed.join(forms, "key").where(F.col("form_n") >= RATIO * F.col("n")).select("word", "n", "form", "form_n").distinct()
     options = written(options, "options")
     odd = tokens.join(options, "word")
     bigrams = tokens.select(F.col("before").alias("a"), F.col("word").alias("b")).where("a is not null")

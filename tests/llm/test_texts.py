@@ -146,6 +146,14 @@ def test_page_noise(spark):
     assert "Rev 1.0" not in text and "the register of the low-latency mapping" in text and "rnapping" not in text
 
 
+def test_every_form_of_a_skeleton_can_be_meant(spark):
+    lines = [x for k, w in enumerate(("tile", "tire", "fire", "trie", "tric", "flic")) for x in [f"one {w} number{'abcdef'[k]} stands"] * 9]
+    lines += ["please open the file again"] * 5 + ["please open the fiie again"] + ["nothing more stands on here"] * 4
+    pages = spark.createDataFrame([(1, "a", "pdf", 1, "\n".join(lines))], PAGES)
+    assert [tuple(r) for r in ocr.noise_cases(pages).where("noise = 'misread'").collect()] == [(1, 60, "misread")]
+    assert {(r.word, r.form) for r in ocr.noise(pages)["misread"].collect()} == {("fiie", "file")}
+
+
 def test_page_noise_of_nothing(spark):
     assert ocr.noise_cases(spark.createDataFrame([], PAGES)).count() == 0
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,61 @@ PURE = 3
 #: Weight that a sentence's terms must reach together for the sentence to lie on a leaf.
 SPEAKS = 0.6
 #: Words of at least three letters, not part of register names and numbers; ends of sentences.
-_TOKENS = re.compile(r"(?<!\w)[a-zà-öø-ÿœß]{3,}(?!\w)|[.!?](?=\s)|\n")
-_ENDS = frozenset(".!?\n")
+_WORD = re.compile(r"[a-zà-öø-ÿœß]{3,}")
+_RUNS = re.compile(r"\w+|\x00")
+_OTHER_SPACE = re.compile(r"[\t\v\f\r\x1c-\x1f]")
+_STOP = re.compile(r"[.!?](?=\s)|\n")
+#: The mark of a sentence's end among the tokens; other signs of ASCII texts are blanks.
+_END = "\x00"
+_BLANKS = {k: " " for k in range(128) if k and not (chr(k).isalnum() or chr(k) == "_")}
+#: Distinct tokens that a task remembers.
+REMEMBERED = 1_000_000
+
+
+def tokens(text: str, ends: bool) -> list[str]:
+    """Runs of word signs in the lower-case text and, if wanted, the marks of the ends of sentences."""
+    text = text.lower().replace(_END, "(")
+    if not text.isascii():
+        return _RUNS.findall(_STOP.sub(" \x00 ", text) if ends else text)
+    if ends:
+        text = text.replace("\n", " \x00 ")
+        if _OTHER_SPACE.search(text):
+            text = _OTHER_SPACE.sub(" ", text)
+        for sign in (". ", "! ", "? "):
+            text = text.replace(sign, "\x00 ")
+        text = text.replace(_END, " \x00 ")
+    return text.translate(_BLANKS).split()
+
+
+def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order and how often each occurs; sorts the array in place, which beats numpy.unique."""
+    codes.sort()
+    start = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+    return codes[start], np.diff(start, append=len(codes))
+
+
+class Numbers(dict):
+    """Number of each word met so far; tokens that are no words have -1."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.names: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        n = self[token] = len(self.names) if _WORD.fullmatch(token) else -1
+        if n >= 0:
+            self.names.append(token)
+        return n
+
+
+class Known(dict):
+    """Numbers of the words that vocabularies have; other words have -1 and tokens that are no words -2."""
+
+    def __missing__(self, token: str) -> int:
+        n = -1 if _WORD.fullmatch(token) else -2
+        if len(self) < REMEMBERED:
+            self[token] = n
+        return n
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
@@ -51,48 +103,52 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = Numbers()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, inverse = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(inverse, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+            codes, counts = np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held])
+            order = np.argsort(codes)
+            codes, counts = codes[order], counts[order]
+            start = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+            return codes[start], np.add.reduceat(counts, start)
 
         def out() -> pa.RecordBatch:
             codes, counts = merged()
-            names = np.array(list(known), object)
+            names = np.array(known.names, object)
             first, second = names[codes >> 24], (codes & 0xFFFFFF) - 1
             spelt = [a if k < 0 else f"{a} {names[k]}" for a, k in zip(first, second)]
             return pa.RecordBatch.from_arrays([pa.array(spelt, pa.string()), pa.array(counts, pa.int64())], names=["term", "n"])
 
         for batch in sliced(batches):
-            numbers: list[int] = []
+            found: list[str] = []
             lengths: list[int] = []
-            number = known.setdefault
-            for text in batch.column(0):
-                w = [t for t in _TOKENS.findall(text.as_py().lower()) if t not in _ENDS]
-                numbers += [number(t, len(known)) for t in w]
-                lengths.append(len(w))
-            if not numbers:
+            for text in batch.column(0).to_pylist():
+                runs = tokens(text, False)
+                found += runs
+                lengths.append(len(runs))
+            x = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+            word = x >= 0
+            x, owner = x[word], np.repeat(np.arange(len(lengths)), lengths)[word]
+            if not len(x):
                 continue
-            x = np.array(numbers, np.int64)
-            owner = np.repeat(np.arange(len(lengths)), lengths)
             pair = (x[:-1] << 24) | (x[1:] + 1)
             pair = pair[owner[:-1] == owner[1:]]
             codes = np.concatenate([x << 24, pair])
             owners = np.concatenate([owner, owner[:-1][owner[:-1] == owner[1:]]])
-            each = np.unique((owners << 48) | codes)  # once per document
-            c, n = np.unique(each & 0xFFFFFFFFFFFF, return_counts=True)
+            each, _ = counted((owners << 48) | codes)  # once per document
+            c, n = counted(each & 0xFFFFFFFFFFFF)
             held.append((c, n))
             size += len(c)
-            if size > 3_000_000:
+            full = len(known) > REMEMBERED
+            if size > 3_000_000 or full:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 1_500_000 or len(known) > 8_000_000:
+                if size > 1_500_000 or full:
                     yield out()
                     held, size = [], 0
-                    known.clear()
+                    known = Numbers()
         if held:
             yield out()
 
@@ -105,7 +161,7 @@ class Vocabulary:
     def __init__(self, terms: list[str], idf: np.ndarray) -> None:
         self.idf = idf
         names = sorted({w for t in terms for w in t.split(" ")})
-        self.words = {w: i + 1 for i, w in enumerate(names)} | dict.fromkeys(_ENDS, 0)
+        self.words = Known({w: i + 1 for i, w in enumerate(names)} | {_END: 0})
         self.single = np.full(len(names) + 1, -1, np.int64)
         pairs = []
         for k, t in enumerate(terms):
@@ -120,17 +176,19 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, bytes, bytes]]:
         """Per text: term numbers sentence by sentence, ends of the sentences, terms and weights of the unit tf-idf vector."""
-        tokens: list[str] = []
+        found: list[str] = []
         lengths = []
         for t in texts:
-            found = _TOKENS.findall(t.lower())
-            tokens += found
-            lengths.append(len(found))
-        x = np.fromiter(map(self.words.get, tokens, repeat(-1)), np.int64, len(tokens))
-        owner = np.repeat(np.arange(len(texts)), lengths)
+            runs = tokens(t, True)
+            found += runs
+            lengths.append(len(runs))
+        x = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+        word = x > -2
+        x, owner = x[word], np.repeat(np.arange(len(texts)), lengths)[word]
+        lengths = np.bincount(owner, minlength=len(texts))
         doc_ends = np.cumsum(lengths)
         stop = x == 0
-        stop[doc_ends[np.array(lengths) > 0] - 1] = True
+        stop[doc_ends[lengths > 0] - 1] = True
         sentence = np.cumsum(stop) - stop
         known = np.flatnonzero(x > 0)
         single = known[self.single[x[known]] >= 0]
@@ -147,7 +205,7 @@ class Vocabulary:
         last = np.concatenate((np.diff(sents) != 0, [True])) if len(sents) else np.zeros(0, bool)
         where = np.flatnonzero(last) + 1
         bounds = np.searchsorted(where, cut, side="right")
-        keys, tf = np.unique(docs * TERMS + terms, return_counts=True)
+        keys, tf = counted(docs * TERMS + terms)
         vec_docs, vec_terms = keys // TERMS, keys % TERMS
         v = tf * self.idf[vec_terms] if len(keys) else np.zeros(0)
         norm = np.sqrt(np.bincount(vec_docs, weights=v * v, minlength=len(texts)))
@@ -192,26 +250,36 @@ class Tree:
     def descend(self, ids: np.ndarray, vals: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Leaf of each vector; vectors are flat, one after the other."""
         node = np.zeros(len(ends), np.int64)
-        starts = np.concatenate(([0], ends[:-1]))
-        split = np.zeros(len(self.centres), bool)
-        pair = np.zeros((len(self.centres), 2), np.int64)
+        if not self.children:
+            return node
+        # one row for each node: second child's centre less the first's, zeros for leaves
+        terms = self.centres.shape[1]
+        pair = np.repeat(np.arange(len(self.centres))[:, None], 2, axis=1)
         for k, c in self.children.items():
-            split[k], pair[k] = True, c
-        owner = np.repeat(np.arange(len(ends)), ends - starts)
+            pair[k] = c
+        steps = self.centres[pair[:, 1]] - self.centres[pair[:, 0]]
+        lengths = np.diff(ends, prepend=0)
+        owner = np.repeat(np.arange(len(ends)), lengths)
         while True:
-            go = split[node]
-            if not go.any():
+            side = np.bincount(owner, weights=steps.take(np.repeat(node * terms, lengths) + ids) * vals, minlength=len(ends))
+            after = pair[node, (side > 0).astype(np.int64)]
+            if (after == node).all():
                 return node
-            keep = go[owner]
-            own, i, v = owner[keep], ids[keep], vals[keep]
-            side = [np.bincount(own, weights=self.centres[pair[node[own], k], i] * v, minlength=len(ends)) for k in (0, 1)]
-            node = np.where(go, pair[node, (side[1] > side[0]).astype(np.int64)], node)
+            node = after
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, b = batch.column("vec_ids").to_pylist(), batch.column("vec").to_pylist()
-    ends = np.cumsum([len(x) // 2 for x in a])
-    return np.frombuffer(b"".join(a), "<u2").astype(np.int64), np.frombuffer(b"".join(b), "<f2").astype(np.float64), ends
+    ids, ends = _joined(batch.column("vec_ids"))
+    vals, _ = _joined(batch.column("vec"))
+    return np.frombuffer(ids, "<u2").astype(np.int64), np.frombuffer(vals, "<f2").astype(np.float64), ends // 2
+
+
+def _joined(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """All bytes of a column without nulls, and where each value ends."""
+    _, offsets, data = column.buffers()
+    wide = pa.types.is_large_binary(column.type)
+    cut = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return memoryview(data or b"")[cut[0] : cut[-1]], cut[1:] - cut[0]
 
 
 def _sums(points: DataFrame, tree: Tree, terms: int) -> dict[int, tuple[int, np.ndarray]]:

@@ -182,6 +182,45 @@ def test_subjects_of_nothing(spark):
     assert subjects.assigned(docs, labels).count() == 0
 
 
+def test_words_and_ends_of_sentences():
+    plain = re.compile(r"(?<!\w)[a-zà-öø-ÿœß]{3,}(?!\w)|[.!?](?=\s)|\n")
+    rng = random.Random(9)
+    for signs in ("abC_7.!? \n\t\r\x00\x1c\x0b()", "abÉœß\xd7İ\u0301ªж_7.!?\n\x85\xa0 ’"):
+        for _ in range(500):
+            text = "".join(rng.choices(signs, k=60)).replace("a", "abc")
+            want = ["\x00" if t in ".!?\n" else t for t in plain.findall(text.lower())]
+            for ends in (True, False):
+                got = [t for t in subjects.tokens(text, ends) if t == "\x00" or subjects._WORD.fullmatch(t)]
+                assert got == [t for t in want if ends or t != "\x00"], text
+
+
+def test_terms_are_counted_once_for_each_document(spark, monkeypatch):
+    texts = ["Page table of the page table. Ends x1", "the page\nÜber page", "", "page"]
+    want = {"page": 3, "table": 1, "the": 2, "ends": 1, "über": 1, "page table": 1, "table the": 1, "the page": 2, "table page": 0, "table ends": 1, "page über": 1, "über page": 1}
+    monkeypatch.setattr(subjects, "REMEMBERED", 2)
+    got = {r.term: r.n for r in subjects.term_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_vectors_descend_to_the_nearer_child():
+    rng = np.random.default_rng(6)
+    tree = subjects.Tree(rng.random((7, 20)))
+    tree.children = {0: (1, 2), 1: (3, 4), 4: (5, 6)}
+    rows = [np.sort(rng.choice(20, k, replace=False)) for k in (3, 0, 7, 1, 20)]
+    vals = [rng.random(len(r)) for r in rows]
+    want = []
+    for r, v in zip(rows, vals):
+        k = 0
+        while k in tree.children:
+            a, b = tree.children[k]
+            k = b if tree.centres[b, r] @ v > tree.centres[a, r] @ v else a
+        want.append(k)
+    batch = subjects.pa.RecordBatch.from_arrays([subjects.pa.array([r.astype("<u2").tobytes() for r in rows]), subjects.pa.array([v.astype("<f2").tobytes() for v in vals])], names=["vec_ids", "vec"])
+    ids, _, ends = subjects._flat(batch.slice(1, 3))
+    assert ids.tolist() == np.concatenate(rows[1:4]).tolist() and ends.tolist() == [0, 7, 8]
+    assert tree.descend(np.concatenate(rows), np.concatenate(vals), np.cumsum([len(r) for r in rows])).tolist() == want
+
+
 def test_bounds_decide_the_batches():
     sizes = np.array(random.Random(8).choices(range(5, 1900), k=3000))
     histogram = np.bincount(sizes, minlength=2049)
